@@ -21,5 +21,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
-QUERIES = {"op10_token_files": op10_token_files}
+def op3_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logfathom.llm.bpe_chunks import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logfathom.llm.substring_dedup import dedup_passages
+
+    return dedup_passages(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op3_bpe_chunks": op3_bpe_chunks, "op10_token_files": op10_token_files}
 ORACLE_SQL: dict[str, str] = {}
