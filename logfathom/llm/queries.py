@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _tokenizer() -> str:
@@ -33,5 +34,17 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op3_bpe_chunks": op3_bpe_chunks, "op10_token_files": op10_token_files}
+def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logfathom.llm.probminhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logfathom.llm.oph_fingerprint import fingerprint_documents
+
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_fingerprints": op6_fingerprints, "op9_probminhash": op9_probminhash, "op4_substring_dedup": op4_substring_dedup, "op3_bpe_chunks": op3_bpe_chunks, "op10_token_files": op10_token_files}
 ORACLE_SQL: dict[str, str] = {}
