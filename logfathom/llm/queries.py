@@ -46,5 +46,21 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_fingerprints": op6_fingerprints, "op9_probminhash": op9_probminhash, "op4_substring_dedup": op4_substring_dedup, "op3_bpe_chunks": op3_bpe_chunks, "op10_token_files": op10_token_files}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logfathom.llm.toxicity import fit, grade_documents, grades
+
+    docs = _table(spark, sf_dir, "documents")
+    return grade_documents(docs, fit(docs, grades(_table(spark, sf_dir, "labels"))))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logfathom.llm.language_id import fit_dictionaries, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    found = identify(docs, fit_dictionaries(docs.filter(fold != 0)))
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+QUERIES = {"op7_toxicity": op7_toxicity, "op2_language_id": op2_language_id, "op6_fingerprints": op6_fingerprints, "op9_probminhash": op9_probminhash, "op4_substring_dedup": op4_substring_dedup, "op3_bpe_chunks": op3_bpe_chunks, "op10_token_files": op10_token_files}
 ORACLE_SQL: dict[str, str] = {}
