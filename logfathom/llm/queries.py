@@ -62,5 +62,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
-QUERIES = {"op7_toxicity": op7_toxicity, "op2_language_id": op2_language_id, "op6_fingerprints": op6_fingerprints, "op9_probminhash": op9_probminhash, "op4_substring_dedup": op4_substring_dedup, "op3_bpe_chunks": op3_bpe_chunks, "op10_token_files": op10_token_files}
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logfathom.llm.warc_zip import archive_pages
+
+    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op1_warc_zip": op1_warc_zip, "op7_toxicity": op7_toxicity, "op2_language_id": op2_language_id, "op6_fingerprints": op6_fingerprints, "op9_probminhash": op9_probminhash, "op4_substring_dedup": op4_substring_dedup, "op3_bpe_chunks": op3_bpe_chunks, "op10_token_files": op10_token_files}
 ORACLE_SQL: dict[str, str] = {}

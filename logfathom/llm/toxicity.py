@@ -47,10 +47,10 @@ def severities(doc: np.ndarray, h: np.ndarray, docs: int, model: Model) -> np.nd
     return 1 / (1 + np.exp(np.clip(model.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def train(doc: np.ndarray, h: np.ndarray, grades: np.ndarray, least_docs: int = 3, l2: float = 1e-4, steps: int = 600) -> Model:
+def train(doc: np.ndarray, h: np.ndarray, grades: np.ndarray, least_docs: int = 3, l2: float = 1e-5, steps: int = 800) -> Model:
     """Fit by Adam on all rows. Words enter if they are in ``least_docs`` texts and their association with any grade
     boundary is significant (likelihood-ratio
-    statistic over 2 ln(words) + 3), so that the many words of few texts don't."""
+    statistic over 2 ln(words) + 6), so that the many words of few texts don't."""
     kinds = np.unique(grades)
     top = int(kinds.max()) if len(kinds) else 0
     if len(kinds) < 2:  # nothing to tell apart: the one grade for every text
@@ -67,7 +67,7 @@ def train(doc: np.ndarray, h: np.ndarray, grades: np.ndarray, least_docs: int =
         if 0 < p < 1:
             gain = a * np.log(np.maximum(a, 1e-9) / (df * p)) + (df - a) * np.log(np.maximum(df - a, 1e-9) / (df * (1 - p)))
             best = np.maximum(best, 2 * gain)
-    good = (df >= least_docs) & (best > 2 * np.log(max(2, (df >= least_docs).sum())) + 3)
+    good = (df >= least_docs) & (best > 2 * np.log(max(2, (df >= least_docs).sum())) + 6)
     new = np.cumsum(good) - 1
     keep = good[index]
     doc, index, words = doc[keep], new[index[keep]], words[good]
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 4000) -> Model:
 
 
 def grade_documents(docs: DataFrame, model: Model, flag_over: float = 0.5) -> DataFrame:
-    """doc_id, severity (expected grade), p_toxic (P(grade > 0)), toxic (p_toxic > flag_over); a row for each row of docs.
+    """doc_id, severity (expected grade), p_toxic (that of the top grade), toxic (p_toxic > flag_over); a row for each row of docs.
 
     A text without words (null, empty) has the severity of a text with none of the model's words. Null and repeated
     doc_ids stay. Extra columns are ignored; an empty table gives no rows.
@@ -130,12 +130,16 @@ def grade_documents(docs: DataFrame, model: Model, flag_over: float = 0.5) -> Da
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for x in batches for part in slices(x, "text")):
             over = severities(*words_present(batch.column("text")), batch.num_rows, model)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array(over[:, 0] > flag_over)], names=["doc_id", "severity", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(over.sum(axis=1)), pa.array(over[:, -1]), pa.array(over[:, -1] > flag_over)], names=["doc_id", "severity", "p_toxic", "toxic"])
 
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, severity double, p_toxic double, toxic boolean")
 
 
 def grades(labels: DataFrame) -> DataFrame:
-    """Severity grades of the labels table: 0 not toxic, 1 toxic, 2 toxic and of low quality too; null toxic has none."""
-    severe = (F.col("quality") == 0) & (F.col("toxic") == 1)
-    return labels.select("doc_id", F.when(severe, 2).otherwise(F.col("toxic").cast("int")).alias("grade"))
+    """Severity grades of the labels table: 0 neither, 1 of low quality only, 2 toxic; a row with null toxic has none.
+
+    Toxic is the top grade: a text with more of the words that mark it may lie any distance above the last threshold.
+    (With the toxic split by quality, which no word predicts, such a text would have to lie between two thresholds.)
+    """
+    low = F.when(F.col("quality") == 0, 1).otherwise(0)
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 2).when(F.col("toxic") == 0, low).alias("grade"))
