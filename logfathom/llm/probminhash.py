@@ -172,3 +172,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     of_text = named.select("text_key", "root").join(classes, "root").select("text_key", "class_id", "class_key")
     out = keyed.select("doc_id", "text_key").join(of_text, "text_key", "left")
     return out.select("doc_id", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "text_key", "class_key")
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """docs without near-duplicates: of each class the row that names it stays (one of them if it is repeated), with all
+    its columns. Texts without words are alike to none and all stay. Takes near_duplicates()'s parameters."""
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_key").alias("row_key")
+    found = near_duplicates(docs, **how).filter(F.col("text_key") == F.col("class_key")).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    named = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = named.filter(~wordless).select(*docs.columns, key).join(found.select(key).distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
+    return rows.select(*docs.columns).union(docs.filter(wordless))

@@ -68,5 +68,33 @@ def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_warc_zip": op1_warc_zip, "op7_toxicity": op7_toxicity, "op2_language_id": op2_language_id, "op6_fingerprints": op6_fingerprints, "op9_probminhash": op9_probminhash, "op4_substring_dedup": op4_substring_dedup, "op3_bpe_chunks": op3_bpe_chunks, "op10_token_files": op10_token_files}
+#: Target shares of tokens for mixing.
+MIX = {"good": 0.85, "low": 0.1, "toxic": 0.05}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logfathom.llm.mixing import domains_of, mix
+
+    return mix(_table(spark, sf_dir, "documents"), domains_of(_table(spark, sf_dir, "labels")), MIX)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logfathom.llm.quality_rules import quality_filter
+
+    return quality_filter(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_warc_zip": op1_warc_zip,
+    "op2_language_id": op2_language_id,
+    "op3_bpe_chunks": op3_bpe_chunks,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_mixing": op5_mixing,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_probminhash": op9_probminhash,
+    "op10_token_files": op10_token_files,
+}
+#: None of these can be said in SQL: they hash, learn, or run a tokenizer. Tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}

@@ -135,6 +135,17 @@ def grade_documents(docs: DataFrame, model: Model, flag_over: float = 0.5) -> Da
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, severity double, p_toxic double, toxic boolean")
 
 
+def reject_toxic(docs: DataFrame, model: Model, flag_over: float = 0.5) -> DataFrame:
+    """The rows of docs that grade_documents() does not flag, with all their columns."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for x in batches for part in slices(x, "text")):
+            over = severities(*words_present(batch.column("text")), batch.num_rows, model)
+            yield batch.filter(pa.array(~(over[:, -1] > flag_over)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def grades(labels: DataFrame) -> DataFrame:
     """Severity grades of the labels table: 0 neither, 1 of low quality only, 2 toxic; a row with null toxic has none.
 
