@@ -18,7 +18,7 @@ Texts travel once, compressed; both joins to the documents use that one exchange
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfathom.llm._words import slices, text_bytes, window_hashes, word_hashes, word_spans
+from logfathom.llm._words import mix, slices, text_bytes, window_hashes, word_hashes, word_spans
 
 _LAST = (1 << 63) - 1
 _BLOB = "bucket int, own binary, n binary, pos binary, a binary, b binary"
@@ -65,6 +65,17 @@ def _ship(bucket: np.ndarray, buckets: int, doc: np.ndarray, own: np.ndarray, po
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)], names=["bucket", "own", "n", "pos", "a", "b"])
 
 
+def _pack(own: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Places as packed rows for the owners' buckets, few rows however many documents there are. own: its first column is the rid."""
+    own, doc = np.unique(own, axis=0, return_inverse=True)
+    doc = doc.reshape(-1)
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    to = (mix(own[:, 0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    made = _ship(to[doc], buckets, doc, own, pos, np.zeros(len(doc), "V0"), None)
+    return made.set_column(4, "a", pa.nulls(made.num_rows, pa.binary()))
+
+
 def _received(table: pa.Table, width: int, a: str, b: str | None) -> tuple[np.ndarray, ...]:
     get = lambda name, kind: np.concatenate([np.frombuffer(x or b"", kind) for x in table.column(name).to_pylist()] or [np.zeros(0, kind)])
     pos = np.concatenate([_joined(x) for x in table.column("pos").to_pylist()] or [np.zeros(0, np.uint32)])
@@ -72,13 +83,13 @@ def _received(table: pa.Table, width: int, a: str, b: str | None) -> tuple[np.nd
     return own, pos, get("a", a), get("b", b) if b else None
 
 
-def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None, keep_text: bool = False) -> DataFrame:
+def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None, keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Remove every word that a repeated passage covers; one row for each row of docs.
 
     A passage (``window`` consecutive words of one text, an even number) is repeated if its words also start at an
     earlier place: a smaller doc_id, or the same document and an earlier word. All are judged on the texts as given.
-    Columns: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space, UTF-8) and, with keep_text,
-    kept. Words are ``[^\\x20\\x09-\\x0D]+``. A null, empty or blank text has no words, and so has a text of fewer words
+    Columns: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space, UTF-8), with keep_text kept
+    (those words; the text as it is if none was removed), and the columns of docs named in carry, as ``carried_<name>``. Words are ``[^\\x20\\x09-\\x0D]+``. A null, empty or blank text has no words, and so has a text of fewer words
     than a passage no repeats. A null doc_id comes after all others; rows with one doc_id are ordered by a hash of their
     texts, and those with the same text too count as one document, so each gets the same result. Extra columns are
     ignored; an empty table gives no rows.
@@ -107,16 +118,16 @@ def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None
             many_here = np.diff(np.append(at, len(h))) > 1
             back = np.argsort(one)  # in document order again
             one, anchored = one[back], anchored[back]
-            yield _ship(bucket_of(h[one]), many, doc[one], rid, pos[one] * 2 + anchored, h[one].astype("<u4"), None)
+            yield _ship(bucket_of(h[one]), many, doc[one], rid[:, None], pos[one] * 2 + anchored, h[one].astype("<u4"), None)
             if many_here.any():  # repeated inside the slice: hits already, which a bucket only passes on
                 mine = np.sort(order[np.repeat(many_here, np.diff(np.append(at, len(h))))])
-                known = _ship(doc[mine] % many, many, doc[mine], rid, pos[mine], np.zeros(len(mine), "V0"), None)
+                known = _ship(doc[mine] % many, many, doc[mine], rid[:, None], pos[mine], np.zeros(len(mine), "V0"), None)
                 yield known.set_column(4, "a", pa.nulls(known.num_rows, pa.binary()))
 
-    def hits(key: tuple, table: pa.Table) -> pa.Table:
+    def hits(table: pa.Table) -> pa.RecordBatch:
         known = pa.compute.is_null(table.column("a"))
         own, pos, _, _ = _received(table.filter(known), 1, "<u4", None)
-        rid, at = [own[:, 0]], [pos.astype(np.int64)]
+        rid, at = [own], [pos.astype(np.int64)]
         own, pos, h, _ = _received(table.filter(pa.compute.invert(known)), 1, "<u4", None)
         if len(h):
             order = np.argsort(h, kind="stable")
@@ -125,16 +136,21 @@ def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None
             length = np.diff(np.append(begin, len(s)))
             good = (length > 1) & np.logical_or.reduceat((pos & 1).astype(bool)[order], begin)
             pick = order[np.repeat(good, length)]
-            rid.append(own[pick, 0])
+            rid.append(own[pick])
             at.append((pos[pick] >> 1).astype(np.int64))
-        (ids,), places = _lists([np.concatenate(rid)], np.concatenate(at))
-        return pa.table({"rid": pa.array(ids, pa.int64()), "pos": places})
+        return _pack(np.concatenate(rid), np.concatenate(at), many)
+
+    def gather_hits(table: pa.Table) -> pa.RecordBatch:
+        own, pos, _, _ = _received(table, 1, "<u4", None)
+        (rid,), places = _lists([own[:, 0]], pos.astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), places], names=["rid", "pos"])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             packed = pa.array([z.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("th"), packed], names=["rid", "doc_id", "th", "z"])
+            more = [batch.column(c) for c in extra]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("th"), packed, *more], names=["rid", "doc_id", "th", "z", *extra])
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -147,7 +163,7 @@ def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None
                 wanted = np.zeros(len(starts) + 1, np.int32)
                 marks = part.column("pos").to_pylist()
                 for i, places in enumerate(marks):  # passages around a hit at q start at q - size .. q
-                    q = np.array([p for group in places for p in group], np.int64) + first[i]
+                    q = np.array(places, np.int64) + first[i]
                     q = q[q < first[i + 1]]
                     np.add.at(wanted, np.maximum(q - size, first[i]), 1)
                     np.add.at(wanted, np.minimum(q + 1, first[i + 1]), -1)
@@ -171,7 +187,7 @@ def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None
                     known = _ship(doc[late] % many, many, doc[late], own, pos[late], np.zeros(len(late), "V0"), None)
                     yield known.set_column(4, "a", pa.nulls(known.num_rows, pa.binary()))
 
-    def repeats(key: tuple, table: pa.Table) -> pa.Table:
+    def repeats(table: pa.Table) -> pa.RecordBatch:
         known = pa.compute.is_null(table.column("a"))
         own, pos, _, _ = _received(table.filter(known), 3, "<u8", "<u4")
         owners, at = [own], [pos.astype(np.int64)]
@@ -184,16 +200,29 @@ def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None
             late = order[(own[lead] != own[order]).any(axis=1) | (pos[lead] != pos[order])]
             owners.append(own[late])
             at.append(pos[late].astype(np.int64))
-        own = np.concatenate(owners)
-        (rid, th), places = _lists([own[:, 0], own[:, 2]], np.concatenate(at))
-        return pa.table({"rid": pa.array(rid, pa.int64()), "th": pa.array(th, pa.int64()), "pos": places})
+        return _pack(np.concatenate(owners), np.concatenate(at), many)
+
+    def gather_repeats(table: pa.Table) -> pa.RecordBatch:
+        own, pos, _, _ = _received(table, 3, "<u8", "<u4")
+        (rid, th), places = _lists([own[:, 0], own[:, 2]], pos.astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(th, pa.int64()), places], names=["rid", "th", "pos"])
+
+    def in_buckets(df: DataFrame, whole: Callable[[pa.Table], pa.RecordBatch], kinds: str) -> DataFrame:
+        """Each bucket, a partition of its own, as one table."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if got := [b for b in batches if b.num_rows]:
+                yield whole(pa.Table.from_batches(got))
+
+        return df.repartitionById(many, F.col("bucket")).mapInArrow(run, kinds)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             counts, gone, sums, kept = [], [], [], []
             for packed, th, marks in zip(batch.column("z").to_pylist(), batch.column("th").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-                words = z.decompress(packed).split()
+                raw = z.decompress(packed)
+                words = raw.split()
                 n = len(words)
                 if marks:
                     at = np.array([p for m in marks if m["at"] == th for p in m["pos"]], np.int64)
@@ -206,17 +235,32 @@ def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None
                 gone.append(n - len(words))
                 sums.append(hashlib.sha256(left).hexdigest())
                 if keep_text:
-                    kept.append(left.decode())
+                    kept.append((left if len(words) < n else raw).decode())
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * keep_text, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text)
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * keep_text + [batch.column(c) for c in extra], names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text + extra)
 
+    extra = [f"carried_{c}" for c in carry]
+    also = "".join(f", `{e}` {docs.schema[c].dataType.simpleString()}" for c, e in zip(carry, extra, strict=True))
     th = F.xxhash64("text")
-    rows = docs.select(F.when(F.col("doc_id") < _LAST, F.col("doc_id")).otherwise(th).alias("rid"), "doc_id", th.alias("th"), "text")
-    found = rows.select("rid", "text").mapInArrow(probe, _BLOB).groupBy("bucket").applyInArrow(hits, "rid long, pos array<int>")
-    by_doc = found.groupBy("rid").agg(F.collect_list("pos").alias("pos"))
+    rows = docs.select(F.when(F.col("doc_id") < _LAST, F.col("doc_id")).otherwise(th).alias("rid"), "doc_id", th.alias("th"), "text", *[F.col(c).alias(e) for c, e in zip(carry, extra, strict=True)])
+    found = rows.select("rid", "text").mapInArrow(probe, _BLOB)
+    by_doc = in_buckets(in_buckets(found, hits, _BLOB), gather_hits, "rid long, pos array<int>")
     # The filter, which drops nothing, is what the inner join would add; so both joins have the same exchange.
-    texts = rows.mapInArrow(squeeze, "rid long, doc_id long, th long, z binary").filter("rid is not null")
-    late = texts.join(by_doc.hint("merge"), "rid").mapInArrow(passages, _BLOB).groupBy("bucket").applyInArrow(repeats, "rid long, th long, pos array<int>")
+    texts = rows.mapInArrow(squeeze, "rid long, doc_id long, th long, z binary" + also).filter("rid is not null")
+    around = texts.join(by_doc.hint("merge"), "rid").select("rid", "doc_id", "th", "z", "pos").mapInArrow(passages, _BLOB)
+    late = in_buckets(in_buckets(around, repeats, _BLOB), gather_repeats, "rid long, th long, pos array<int>")
     marks = late.groupBy("rid").agg(F.collect_list(F.struct(F.col("th").alias("at"), "pos")).alias("marks"))
-    kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    return texts.join(marks.hint("merge"), "rid", "left").select("doc_id", "th", "z", "marks").mapInArrow(cut, kinds)
+    kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text + also
+    return texts.join(marks.hint("merge"), "rid", "left").select("doc_id", "th", "z", "marks", *extra).mapInArrow(cut, kinds)
+
+
+def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+    """docs with repeated passages taken out of their texts (n_chars, if there is one, says the new length). Every row
+    stays, a text that was nothing but repeats as an empty one; a text without repeats is left as it is (a null
+    text as an empty one)."""
+    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = dedup_passages(docs, window, keep_text=True, carry=carry)
+    new = {c: F.col(f"carried_{c}") for c in carry} | {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    if "n_chars" in carry:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("carried_n_chars"))
+    return found.select(*[new[c].alias(c) for c in docs.columns])
