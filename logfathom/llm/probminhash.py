@@ -6,9 +6,10 @@ once its next arrival is later than all registers. The share of equal registers
 probability Jaccard similarity, the sum over common shingles x of 1 / sum over y of max(a(y)/a(x), b(y)/b(x)).
 
 Equal texts are one node. Nodes that share a band of registers are compared exactly, in two steps: every node with its
-bucket's leader, the one that shares most bands; then, in buckets that still hold several components, the nodes outside
-the leader's component with those of other components, as far as the triangle inequality (1 - similarity is a metric)
-leaves it open that the two are alike. So no link between candidates is lost, and none inside a component is computed.
+bucket's leader, the one that shares most bands; then, where buckets still hold several components, the nodes outside
+the leader's component with all nodes of their cluster of buckets. The second step works on blocks of nodes inside a
+task, through an inverted index of their shingles, and emits only links that connect components; pairs are never rows.
+So no connection between candidates is lost.
 """
 
 from __future__ import annotations
@@ -79,7 +80,50 @@ def similarity(ha: np.ndarray, na: np.ndarray, hb: np.ndarray, nb: np.ndarray) -
     return float(sum(k / (only_a / x + only_b / y + np.maximum(a / x, b / y).sum()) for (x, y), k in zip(pairs.tolist(), n.tolist(), strict=True)))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 25, rows: int = 4) -> DataFrame:
+def link_outside(h: np.ndarray, n: np.ndarray, first: np.ndarray, roots: list[int], outside: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs (index, index) of similarity ``threshold`` or more that connect what such pairs with an outside text connect,
+    beyond the components in ``roots``. One pass over an inverted index for each outside text finds the shares of weight
+    that it has in common with all texts; those bound the similarity, and give it where no shingle is repeated."""
+    docs = len(first) - 1
+    doc = np.repeat(np.arange(docs), np.diff(first))
+    total = np.maximum(np.add.reduceat(np.append(n, 0), first[:-1]).astype(float), 1)
+    single = np.array([n[a:b].max(initial=1) == 1 for a, b in zip(first, first[1:], strict=False)])
+    order = np.argsort(h, kind="stable")
+    begins = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+    rank = np.empty(len(h), np.int64)
+    rank[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(h))))
+    begins = np.append(begins, len(h))
+    by_shingle, weight = doc[order], n[order].astype(float)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    links = []
+    for a in np.flatnonzero(outside).tolist():
+        spans = rank[first[a] : first[a + 1]]
+        lengths = begins[spans + 1] - begins[spans]
+        at = np.repeat(begins[spans] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(int(lengths.sum()))
+        mine = np.bincount(by_shingle[at], np.repeat(n[first[a] : first[a + 1]], lengths), docs) / total[a]
+        theirs = np.bincount(by_shingle[at], weight[at], docs) / total
+        for b in np.flatnonzero((mine >= threshold - 1e-9) & (theirs >= threshold - 1e-9)).tolist():
+            if a == b or find(roots[a]) == find(roots[b]):
+                continue
+            if single[a] and single[b]:
+                common = mine[b] * total[a]
+                sim = common / (total[a] + total[b] - common)
+            else:
+                sim = similarity(h[first[a] : first[a + 1]], n[first[a] : first[a + 1]], h[first[b] : first[b + 1]], n[first[b] : first[b + 1]])
+            if sim >= threshold - 1e-9:
+                parent[find(roots[a])] = find(roots[b])
+                links.append((a, b))
+    return links
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 25, rows: int = 4, block: int = 2048) -> DataFrame:
     """The class of every document: doc_id, class_id, text_key, class_key; one row for each row of docs.
 
     Documents are linked if their probability Jaccard is at least the threshold; classes are the components of all
@@ -126,6 +170,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
                     out.append(similarity(own[0], own[1], h[first[i] : first[i + 1]], n[first[i] : first[i + 1]]))
                 yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array(out, pa.float64())], names=["u", "v", "sim"])
 
+    def link_block(key: tuple, table: pa.Table) -> pa.Table:
+        """Links enough to join what is alike among a block's outside nodes and all of its nodes."""
+        z = zstandard.ZstdDecompressor()
+        nodes, roots_, out_ = table.column("node").to_numpy(), table.column("root").to_pylist(), table.column("outside").to_numpy(zero_copy_only=False)
+        order = np.lexsort((~out_, nodes))  # a node that is on both sides counts once, as an outside one
+        order = order[np.concatenate(([True], nodes[order][1:] != nodes[order][:-1]))]
+        texts_ = [z.decompress(table.column("z")[i].as_py()) for i in order.tolist()]
+        parts, firsts = [], [0]
+        for part in slices(pa.RecordBatch.from_arrays([pa.array(texts_, pa.large_binary())], names=["raw"]), "raw"):
+            h, n, first = shingles(*text_bytes(part.column("raw")), size)
+            parts.append((h, n))
+            firsts += (first[1:] + firsts[-1]).tolist()
+        links = link_outside(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.array(firsts), [roots_[i] for i in order.tolist()], out_[order], threshold)
+        return pa.table({"u": pa.array([int(nodes[order[a]]) for a, _ in links], pa.int64()), "v": pa.array([int(nodes[order[b]]) for _, b in links], pa.int64())})
+
     keyed = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"))
     signed = keyed.mapInArrow(sign, "text_key string, doc_id long, bands array<long>")
     nodes = signed.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
@@ -149,23 +208,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     leaders = stage(ranked.groupBy("band").agg(F.max(F.struct("shared", (-F.col("node")).alias("least"))).alias("top")).select("band", (-F.col("top.least")).alias("u")), "leaders")
     led = members.select("band", F.col("node").alias("v")).join(leaders, "band").filter("u <> v")
     first = compared(led.select("u", "v").distinct(), "with-leaders")
-    links = first.filter(F.col("sim") >= threshold).select("u", "v")
+    links = first.filter(F.col("sim") >= threshold - 1e-9).select("u", "v")
     roots = stage(components(links), "components")
 
-    # Buckets that still hold several components, with each member's distance from the bucket's leader.
+    # Buckets that still hold several components. Their nodes fall into clusters (linked through bucket leaders); in each
+    # cluster the nodes outside a leader's component are compared with all nodes, blocks of them with blocks.
     placed = members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
     leader_of = leaders.join(roots, leaders.u == roots.node, "left").select("band", "u", F.coalesce("root", "u").alias("leader_root"))
-    placed = placed.join(mixed, "band").join(leader_of, "band")
-    near = first.select("u", F.col("v").alias("node"), (1 - F.col("sim")).alias("far"))
-    placed = stage(placed.filter("node <> u").join(near, ["u", "node"]), "mixed")
-    outside = placed.filter("root <> leader_root").select("band", F.col("node").alias("u1"), F.col("root").alias("r1"), F.col("far").alias("f1"))
-    inside = placed.select("band", F.col("node").alias("v1"), F.col("root").alias("r2"), F.col("far").alias("f2"), (F.col("root") == F.col("leader_root")).alias("led"))
-    open_ = outside.join(inside, "band").filter((F.col("r1") != F.col("r2")) & (F.abs(F.col("f1") - F.col("f2")) <= 1 - threshold + 1e-9) & (F.col("led") | (F.col("u1") < F.col("v1"))))
-    second = compared(open_.select(F.col("u1").alias("u"), F.col("v1").alias("v")).distinct(), "across")
-    more = second.filter(F.col("sim") >= threshold).select("u", "v")
-    if not more.isEmpty():
-        roots = stage(components(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)), "components")
+    placed = stage(placed.join(mixed, "band").join(leader_of, "band"), "mixed")
+    if not placed.isEmpty():
+        clusters = components(placed.select("u", F.col("node").alias("v")))
+        status = placed.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("leader_root")).alias("outside"))
+        status = stage(status.join(clusters.withColumnRenamed("root", "cluster"), "node").join(texts, "node"), "clusters")
+        sizes = status.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("all_blocks"), F.ceil(F.count_if("outside") / block).alias("out_blocks"))
+        sized = status.join(sizes, "cluster")
+        at = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        row = ["node", "root", "outside", "z"]
+        outer = sized.filter("outside").select("cluster", at("o", "out_blocks").alias("i"), every("all_blocks").alias("j"), *row)
+        inner = sized.filter("out_blocks > 0").select("cluster", every("out_blocks").alias("i"), at("m", "all_blocks").alias("j"), "node", "root", F.lit(False).alias("outside"), "z")
+        more = stage(outer.union(inner).groupBy("cluster", "i", "j").applyInArrow(link_block, "u long, v long"), "across")
+        if not more.isEmpty():
+            roots = stage(components(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)), "components")
 
     named = nodes.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("root"), F.struct(F.col("least").isNull(), "least", "text_key").alias("name"))
     classes = named.groupBy("root").agg(F.min("name").alias("name")).select("root", F.col("name.least").alias("class_id"), F.col("name.text_key").alias("class_key"))
@@ -177,9 +242,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs without near-duplicates: of each class the row that names it stays (one of them if it is repeated), with all
     its columns. Texts without words are alike to none and all stay. Takes near_duplicates()'s parameters."""
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_key").alias("row_key")
+    key = lambda text_key: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_key).alias("__row_key")
     found = near_duplicates(docs, **how).filter(F.col("text_key") == F.col("class_key")).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    named = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = named.filter(~wordless).select(*docs.columns, key).join(found.select(key).distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
-    return rows.select(*docs.columns).union(docs.filter(wordless))
+    rows = docs.filter(~wordless).select(*docs.columns, key(F.md5(F.col("text").cast("binary"))))
+    one = rows.join(found.select(key(F.col("text_key"))).distinct(), "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    return one.select(*docs.columns).union(docs.filter(wordless))
