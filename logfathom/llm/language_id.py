@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 
 from logfathom.llm._words import slices
 
-_LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """What is compared: lower case, each run of anything but letters one space."""
+    return _OTHER.sub(" ", text.lower()).strip()
 
 
 def fit_dictionaries(rows: DataFrame, per_language: int = 512, chars: int = 400, size: int = 110_000) -> dict[str, bytes]:
-    """A raw-content dictionary of at most ``size`` bytes for each language of rows (doc_id, text, lang).
+    """A raw-content dictionary of at most ``size`` bytes for each language of rows (doc_id, text, lang), most frequent
+    language first.
 
     The bound: of each language, the ``per_language`` documents with the smallest hashes of doc_id (rows that a null
     lang or text has are left out), ``chars`` code points of each from its middle. Spark cuts each task's rows to that
@@ -28,12 +34,14 @@ def fit_dictionaries(rows: DataFrame, per_language: int = 512, chars: int = 400,
     texts: dict[str, list[str]] = {}
     for r in picked.select("lang", "rank", middle.alias("part")).orderBy("lang", F.col("rank").desc()).collect():
         texts.setdefault(r["lang"], []).append(r["part"])
-    return {lang: "\n".join(parts).encode()[-size:] for lang, parts in sorted(texts.items())}
+    counts = {r["lang"]: r["n"] for r in rows.filter("lang is not null and text is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    order = sorted(texts, key=lambda lang: (-counts[lang], lang))
+    return {lang: letters("\n".join(texts[lang])).encode()[-size:] for lang in order}
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 3):
-        self.langs = sorted(dictionaries)
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 9):
+        self.langs = list(dictionaries)
         params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         self.packers = []
         for lang in self.langs:
@@ -42,14 +50,14 @@ class Classifier:
             self.packers.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        """The language and the margin: by how much of the runner-up's size the best is smaller. Ties: the first name."""
-        if not self.langs or text is None or not _LETTER.search(text):
+        """The language and the margin: by how much of the runner-up's size the best is smaller. Of equal sizes the first
+        language given, that is the most frequent, wins."""
+        raw = letters(text or "").encode()
+        if not self.langs or not raw:
             return "und", 0.0
-        raw = text.encode()
-        sizes = sorted((len(p.compress(raw)), lang) for p, lang in zip(self.packers, self.langs, strict=True))
-        if len(sizes) == 1:
-            return sizes[0][1], 1.0
-        return sizes[0][1], 1 - sizes[0][0] / sizes[1][0]
+        sizes = sorted((len(p.compress(raw)), i) for i, p in enumerate(self.packers))
+        margin = 1.0 if len(sizes) == 1 else 1 - sizes[0][0] / sizes[1][0]
+        return self.langs[sizes[0][1]], margin
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.01) -> DataFrame:
@@ -57,7 +65,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: floa
 
     lang_pred is the language of the smallest encoding, ``und`` if the text is null, empty or without a letter (or no
     language was learned); score is the margin to the second (0 to 1); accepted is false where the margin is under
-    ``least_margin`` or lang_pred is und. Equal sizes go to the first language by name. Null and repeated doc_ids stay.
+    ``least_margin`` or lang_pred is und. Equal sizes go to the most
+    frequent language. Null and repeated doc_ids stay.
     Extra columns are ignored; an empty table gives no rows.
     """
 
