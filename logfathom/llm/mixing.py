@@ -4,7 +4,7 @@ The classifier is naive Bayes over binned figures of a text: rates of symbols, c
 of its words are repeats, and how many words it has of each domain's lexicon. The rates x minimize the squared distance
 of the expected domain totals, sum over documents of x * tokens * posterior, from their targets under x >= 0, by
 projected gradient in the metric that counts a document by its tokens: x <- max(0, x - posterior . step), where step is
-the residual times a preconditioner of domains by domains. The driver holds just such small matrices.
+the residual, at first times a preconditioner of domains by domains. The driver holds just such small matrices.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from logfathom.llm._shared import stage
 _CUTS = {"symbols": [0.002, 0.01, 0.03, 0.1], "capitals": [0.01, 0.05, 0.15, 0.4], "digits": [0.001, 0.01, 0.05], "breaks": [0.002, 0.008, 0.02], "repeats": [0.2, 0.4, 0.6, 0.8], "marks": [0.001, 0.01, 0.05]}
 
 
-def _words(text: str = "text") -> Column:
-    return F.expr(rf"filter(split(lower({text}), '[^\\p{{L}}]+'), w -> w <> '')")
+def _distinct_words(text: str = "text") -> Column:
+    """The distinct runs of letters of a text, lower case."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), "")
 
 
 def _hashed(c: str = "doc_id") -> Column:
@@ -37,7 +38,7 @@ def lexicons(docs: DataFrame, labelled: DataFrame, per_domain: int = 2000, words
         return {d: [] for d in kinds}
     sample = reduce(DataFrame.union, [labelled.filter(F.col("domain") == d).orderBy(_hashed(), "doc_id").limit(per_domain) for d in kinds])
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    seen = stage(texts.select("domain", F.array_distinct(_words()).alias("w")), "lexicon-sample")
+    seen = stage(texts.select("domain", _distinct_words().alias("w")), "lexicon-sample")
     sizes = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     counts = seen.select("domain", F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n"), *[F.count_if(F.col("domain") == d).alias(f"in_{i}") for i, d in enumerate(kinds)]).filter("n >= 3")
@@ -58,12 +59,11 @@ def features(docs: DataFrame, lexicon: Mapping[str, list[str]]) -> DataFrame:
     """doc_id, tokens (words) and an array of bin numbers for every row; a null text is empty."""
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = F.greatest(F.char_length("text"), F.lit(1))
-    less = lambda chars: F.char_length("text") - F.char_length(F.translate("text", chars, ""))
-    rates = {
-        "symbols": less("#*$%&|<>") / n, "capitals": less("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n, "digits": less("0123456789") / n,
-        "breaks": less("\n") / n, "marks": less("!?") / n,
-    }
-    plain = t.select("doc_id", *[v.alias(k) for k, v in rates.items()], F.expr(r"cast(size(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')) as bigint)").alias("tokens"), F.array_distinct(_words()).alias("w"))
+    count = lambda chars: F.regexp_count("text", F.lit(f"[{chars}]"))
+    classes = {"symbols": "#*$%&|<>", "capitals": "A-Z", "digits": "0-9", "breaks": r"\n", "marks": "!?"}
+    bare = F.btrim("text", F.lit(" \t\n\v\f\r"))
+    tokens = F.when(bare != "", F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).otherwise(0).cast("long")
+    plain = t.select("doc_id", *[(count(v) / n).alias(k) for k, v in classes.items()], tokens.alias("tokens"), _distinct_words().alias("w"))
     plain = plain.withColumn("repeats", 1 - F.size("w") / F.greatest("tokens", F.lit(1)))
     bins = [reduce(lambda a, b: a + b, [F.when(F.col(c) > x, 1).otherwise(0) for x in cuts]) for c, cuts in _CUTS.items()]
     for d in sorted(lexicon):
@@ -93,7 +93,7 @@ def posteriors(feats: DataFrame, labelled: DataFrame, domains: list[str]) -> Dat
     return whole.select("doc_id", "tokens", F.transform("e", lambda x: x / F.col("z")).alias("p"))
 
 
-def rates(members: DataFrame, targets: list[float], most_steps: int = 40, tolerance: float = 1e-6) -> DataFrame:
+def rates(members: DataFrame, targets: list[float], most_steps: int = 40, newton_steps: int = 16, tolerance: float = 1e-6) -> DataFrame:
     """members (doc_id, tokens, p) with rate, so that the sums of rate * tokens * p come to ``targets``, or as near as
     rates of 0 or more can (least squares, from rates of 1). A document of no tokens keeps a rate of 1 as far as its
     posteriors' step does. Every few steps the rates are written to the shared folder."""
@@ -105,13 +105,16 @@ def rates(members: DataFrame, targets: list[float], most_steps: int = 40, tolera
     both = members.agg(*[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(k)]).first()
     metric = np.array([float(v or 0.0) for v in both]).reshape(k, k) / scale
     # In the tokens' metric the residual's map is metric itself, so its inverse is a step of length 1: it never diverges.
+    # It finds targets that can be met in a few steps; if they can't, plain gradient steps go on to the least squares.
+    longest = max(float(np.linalg.eigvalsh(metric).max()), 1e-12)
     inverse = np.linalg.inv(metric + np.eye(k) * (1e-9 + 1e-6 * np.trace(metric)))
     for step in range(most_steps):
         sums = now.agg(*[F.sum(F.col("x") * F.col("tokens") * a).alias(f"s{i}") for i, a in enumerate(p)]).first()
         residual = np.array([float(v or 0.0) for v in sums]) / scale - goal
         if float(np.linalg.norm(residual)) <= tolerance:
             break
-        moved = reduce(lambda a, b: a + b, [a * float(m) for a, m in zip(p, inverse @ residual, strict=True)])
+        move = inverse @ residual if step < newton_steps else residual / longest
+        moved = reduce(lambda a, b: a + b, [a * float(m) for a, m in zip(p, move, strict=True)])
         now = now.withColumn("x", F.greatest(F.lit(0.0), F.col("x") - moved))
         if step % 8 == 7:
             now = stage(now, "rates")
@@ -144,9 +147,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], tota
 def mixed(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], total: float | None = None) -> DataFrame:
     """The rows of docs, each as many times as mix() says (rows with one doc_id: the most that it says for any)."""
     found = mix(docs, labelled, weights, total).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    times = found.filter("copies > 0").select(F.col("doc_id").alias("of_doc"), "copies")
-    joined = docs.join(times, docs.doc_id.eqNullSafe(times.of_doc))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    times = found.filter("copies > 0").select(F.col("doc_id").alias("__of_doc"), F.col("copies").alias("__copies"))
+    joined = docs.join(times, docs.doc_id.eqNullSafe(F.col("__of_doc")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
