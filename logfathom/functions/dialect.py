@@ -163,5 +163,5 @@ def match_groups(text: Column, java: str, count: int) -> Column:
     whole = rf"{head}^[\s\S]*?(?:{java[len(head):]})[\s\S]*\z"
     clean = F.translate(text, MARK, "")
     marked = F.regexp_replace(clean, F.lit(whole), F.lit(MARK + MARK.join(f"${i}" for i in range(1, count + 1)) + MARK))
-    parts = F.split(marked, MARK)
-    return F.when(marked.startswith(MARK), F.slice(parts, 2, count))
+    # Through a one-element array, so that the replaced text is there once and not once for each use.
+    return F.transform(F.array(marked), lambda m: F.when(m.startswith(MARK), F.slice(F.split(m, MARK), 2, count)))[0]
