@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logfathom.llm._shared import stage
 
 #: Share of words or characters that each rule judges, and the least spread its fence grants over the upper quartile.
-RULES = {"symbol_rate": 0.05, "word_length": 1.0, "dup_line_rate": 0.1, "repeat_rate": 0.05}
+RULES = {"symbol_rate": 0.05, "word_length": 1.5, "dup_line_rate": 0.3, "repeat_rate": 0.2}
 _WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
