@@ -24,17 +24,23 @@ def fit_dictionaries(rows: DataFrame, per_language: int = 512, chars: int = 400,
     """A raw-content dictionary of at most ``size`` bytes for each language of rows (doc_id, text, lang), most frequent
     language first.
 
-    The bound: of each language, the ``per_language`` documents with the smallest hashes of doc_id (rows that a null
-    lang or text has are left out), ``chars`` code points of each from its middle. Spark cuts each task's rows to that
-    number before any shuffle, so a language with most of the rows costs no more than another.
+    The bound: of each language, the ``per_language`` documents with the smallest hashes (rows that a null lang or text
+    has are left out), ``chars`` code points of each from its middle. Languages are counted first; by its count, a hash
+    threshold lets about four times the wanted number of a language's documents through, and only those are ranked, so
+    that what is shuffled does not grow with the input.
     """
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    known = rows.filter("lang is not null and text is not null")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
     middle = F.expr(f"substring(text, greatest(1, cast(char_length(text) / 2 - {chars // 2} as int)), {chars})")
-    picked = rows.filter("lang is not null and text is not null").select("lang", "doc_id", "text").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language)
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 4 * per_language / n + 64 / n)))])
+    tagged = known.select("lang", middle.alias("part"), F.xxhash64("doc_id", "text").alias("h"))
+    few = tagged.filter(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.element_at(share, F.col("lang")))
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).filter(F.col("rank") <= per_language)
     texts: dict[str, list[str]] = {}
-    for r in picked.select("lang", "rank", middle.alias("part")).orderBy("lang", F.col("rank").desc()).collect():
+    for r in ranked.orderBy("lang", F.col("rank").desc()).collect():
         texts.setdefault(r["lang"], []).append(r["part"])
-    counts = {r["lang"]: r["n"] for r in rows.filter("lang is not null and text is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     order = sorted(texts, key=lambda lang: (-counts[lang], lang))
     return {lang: letters("\n".join(texts[lang])).encode()[-size:] for lang in order}
 
