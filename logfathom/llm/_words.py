@@ -13,7 +13,7 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_PIECE = 1 << 22
+_PIECE = 1 << 20
 _MULT = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -60,7 +60,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with about ``most`` bytes of text each (one row at least)."""
     if batch.num_rows == 0:
         return
@@ -90,7 +90,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash for each word. Long texts are taken in pieces of some MB."""
+    """A 64-bit hash for each word. Texts are taken in pieces of a MB."""
     out = np.empty(len(starts), np.uint64)
     table, at = _table(lane), 0
     while at < len(starts):

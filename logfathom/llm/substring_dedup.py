@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from logfathom.llm._words import mix, slices, text_bytes, window_hashes, word_hashes, word_spans
 
 _LAST = (1 << 63) - 1
+_SLICE = 4_000_000  # bytes of text that repeats are looked for in before anything is sent
 _BLOB = "bucket int, own binary, n binary, pos binary, a binary, b binary"
 
 
@@ -103,7 +104,7 @@ def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None
         return ((h >> np.uint64(40)) % np.uint64(many)).astype(np.int64)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for x in batches for part in slices(x, "text")):
+        for batch in (part for x in batches for part in slices(x, "text", _SLICE)):
             data, offsets = text_bytes(batch.column("text"))
             starts, ends, first = word_spans(data, offsets)
             h, doc, pos = window_hashes(word_hashes(data, starts, ends), first, size)
@@ -157,7 +158,7 @@ def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None
         for batch in batches:
             texts = pa.array([z.decompress(x) for x in batch.column("z").to_pylist()], pa.large_binary())
             batch = batch.append_column("raw", texts)
-            for part in slices(batch, "raw"):
+            for part in slices(batch, "raw", _SLICE):
                 data, offsets = text_bytes(part.column("raw"))
                 starts, ends, first = word_spans(data, offsets)
                 wanted = np.zeros(len(starts) + 1, np.int32)

@@ -88,7 +88,7 @@ def train(doc: np.ndarray, h: np.ndarray, grades: np.ndarray, least_docs: int =
     return Model(words, x[: len(words)], np.maximum.accumulate(x[len(words) :]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 2500) -> Model:
     """Fit on at most ``per_grade`` labelled documents of each grade, those with the smallest hashes of doc_id.
 
     labels: doc_id and grade (0, 1 ...; others and nulls are left out). Of several labels of one doc_id the highest
