@@ -2,9 +2,9 @@
 
 The classifier is naive Bayes over binned figures of a text: rates of symbols, capitals, digits and line ends, how many
 of its words are repeats, and how many words it has of each domain's lexicon. The rates x minimize the squared distance
-of the expected domain totals, sum over documents of x * tokens * posterior, from their targets under x >= 0, by
-projected gradient in the metric that counts a document by its tokens: x <- max(0, x - posterior . step), where step is
-the residual, at first times a preconditioner of domains by domains. The driver holds just such small matrices.
+of the expected domain totals, sum over documents of x * tokens * posterior, from their targets under x >= 0; of all such
+rates those nearest to 1, counting a document by its tokens. They are max(0, 1 - posterior . v) for a vector v of the
+domains, which Newton steps on the dual find. The driver holds just such vectors and matrices of domains by domains.
 """
 
 from __future__ import annotations
@@ -93,32 +93,73 @@ def posteriors(feats: DataFrame, labelled: DataFrame, domains: list[str]) -> Dat
     return whole.select("doc_id", "tokens", F.transform("e", lambda x: x / F.col("z")).alias("p"))
 
 
-def rates(members: DataFrame, targets: list[float], most_steps: int = 40, newton_steps: int = 16, tolerance: float = 1e-6) -> DataFrame:
-    """members (doc_id, tokens, p) with rate, so that the sums of rate * tokens * p come to ``targets``, or as near as
-    rates of 0 or more can (least squares, from rates of 1). A document of no tokens keeps a rate of 1 as far as its
-    posteriors' step does. Every few steps the rates are written to the shared folder."""
+def solve(members: DataFrame, targets: list[float], most_steps: int = 200, tolerance: float = 1e-6) -> tuple[np.ndarray, float, bool]:
+    """A vector v of the domains, so that the rates max(0, 1 - p . v) bring the sums of rate * tokens * p to ``targets``,
+    or as near as rates of 0 or more can; the distance that is left, over the sum of the targets; and whether it is
+    proved to be within ``tolerance`` of the least one. A step is one pass over members (partial sums).
+
+    v minimizes sum(tokens * max(0, 1 - p . v)^2) / 2 + targets . v + e |v|^2 / 2, the dual of the least squares with a
+    weight of e on the rates' distance from 1. Newton steps find it; then e is lowered until the proof holds.
+    """
     k = len(targets)
     p = [F.col("p")[i] for i in range(k)]
-    now = members.withColumn("x", F.lit(1.0))
     scale = max(sum(targets), 1.0)
     goal = np.array(targets) / scale
-    both = members.agg(*[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(k)]).first()
-    metric = np.array([float(v or 0.0) for v in both]).reshape(k, k) / scale
-    # In the tokens' metric the residual's map is metric itself, so its inverse is a step of length 1: it never diverges.
-    # It finds targets that can be met in a few steps; if they can't, plain gradient steps go on to the least squares.
-    longest = max(float(np.linalg.eigvalsh(metric).max()), 1e-12)
-    inverse = np.linalg.inv(metric + np.eye(k) * (1e-9 + 1e-6 * np.trace(metric)))
-    for step in range(most_steps):
-        sums = now.agg(*[F.sum(F.col("x") * F.col("tokens") * a).alias(f"s{i}") for i, a in enumerate(p)]).first()
-        residual = np.array([float(v or 0.0) for v in sums]) / scale - goal
-        if float(np.linalg.norm(residual)) <= tolerance:
-            break
-        move = inverse @ residual if step < newton_steps else residual / longest
-        moved = reduce(lambda a, b: a + b, [a * float(m) for a, m in zip(p, move, strict=True)])
-        now = now.withColumn("x", F.greatest(F.lit(0.0), F.col("x") - moved))
-        if step % 8 == 7:
-            now = stage(now, "rates")
-    return now.withColumnRenamed("x", "rate")
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    # A rate of x can lower the distance through a document of slope p . residual by no more than the tokens it brings.
+    reach = float(np.sqrt(k) * np.linalg.norm(goal))
+
+    def look(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
+        x = _rate(p, v)
+        on, t = F.col("tokens") * (F.col("x") > 0).cast("double"), F.col("tokens") * F.col("x")
+        sums = members.withColumn("x", x).agg(*[F.sum(t * a) for a in p], *[F.sum(on * p[i] * p[j]) for i, j in pairs], F.sum(t * F.col("x")), F.max(F.when(F.col("tokens") > 0, F.col("x")))).first()
+        got = np.array([float(y or 0.0) for y in sums])
+        curve = np.zeros((k, k))
+        for (i, j), y in zip(pairs, got[k : k + len(pairs)], strict=True):
+            curve[i, j] = curve[j, i] = y / scale
+        return float(got[-2]) / scale, got[:k] / scale, curve, float(got[-1])
+
+    v, e, steps = np.zeros(k), 1e-2, 0
+    squares, sums, curve, highest = look(v)
+    best, left = v, np.inf
+    while True:
+        residual = sums - goal
+        slope = goal + e * v - sums
+        off, error = float(np.linalg.norm(residual)), float(np.linalg.norm(slope))
+        # residual = e * v - slope, so no document's p . residual is under e * (1 - highest) - error.
+        gap = float(residual @ sums) + max(0.0, e * (highest - 1) + error) * reach
+        proved = off <= tolerance or gap <= tolerance * off / 2
+        if proved or off < left:
+            best, left = v, off
+        if proved or steps >= most_steps:
+            return best, left, proved
+        if error <= max(1e-3 * e * float(np.linalg.norm(v)), 1e-13) and e > 1e-15:
+            e /= 100
+            continue
+        move = -np.linalg.solve(curve + (e + 1e-14 * np.trace(curve)) * np.eye(k), slope)
+        height, fall, length = squares / 2 + goal @ v + e * (v @ v) / 2, float(slope @ move), 1.0
+        while True:
+            to = v + length * move
+            squares, sums, curve, highest = look(to)
+            steps += 1
+            after = goal + e * to - sums
+            lower = squares / 2 + goal @ to + e * (to @ to) / 2 <= height + 1e-4 * length * fall
+            if lower or after @ move <= 0 or np.linalg.norm(after) <= error / 2 or length < 1e-9 or steps >= most_steps:
+                break
+            length /= 2
+        v = to
+
+
+def _rate(p: list[Column], v: np.ndarray) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(1.0) - reduce(lambda a, b: a + b, [a * float(m) for a, m in zip(p, v, strict=True)]))
+
+
+def rates(members: DataFrame, targets: list[float], most_steps: int = 200, tolerance: float = 1e-6) -> DataFrame:
+    """members (doc_id, tokens, p) with rate, as solve() finds it, and residual (the distance left, in tokens) and proved
+    in every row. A document of no tokens keeps a rate of 1 as far as its posteriors' step does."""
+    v, left, proved = solve(members, targets, most_steps, tolerance)
+    p = [F.col("p")[i] for i in range(len(targets))]
+    return members.withColumns({"rate": _rate(p, v), "residual": F.lit(left * max(sum(targets), 1.0)), "proved": F.lit(proved)})
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], total: float | None = None) -> DataFrame:
@@ -128,7 +169,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], tota
     that ``weights`` lacks are left out. ``weights`` (normalized) times ``total`` tokens (None: as many as docs has) are
     the targets. copies is rate rounded down or up, up with the probability of its fraction by a hash of doc_id. A null
     text is empty and of no tokens; null and repeated doc_ids stay, and rows repeated share a rate. Extra columns are
-    ignored; an empty table gives no rows. A hot domain or source costs no task more: all sums are partial first.
+    ignored; an empty table gives no rows. Rates that are not proved to be the best raise an error. A hot domain or source costs no task more: all sums are partial first.
     """
     domains = sorted(weights)
     single = labelled.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
@@ -138,7 +179,11 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], tota
     if total is None:
         total = float(members.agg(F.sum("tokens")).first()[0] or 0)
     whole = sum(weights.values())
-    found = rates(members, [weights[d] / whole * total for d in domains])
+    targets = [weights[d] / whole * total for d in domains]
+    v, left, proved = solve(members, targets)
+    if not proved:
+        raise RuntimeError(f"mixing: the rates found leave {left:.3g} of all tokens off the targets, and it is not proved that none do better")
+    found = members.withColumn("rate", _rate([F.col("p")[i] for i in range(len(domains))], v))
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")
     return found.select("doc_id", "tokens", "rate", copies, *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)])

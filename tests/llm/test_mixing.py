@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 
-from logfathom.llm.mixing import mix, mixed, rates
+from logfathom.llm import mixing
+from logfathom.llm.mixing import mix, mixed, rates, solve
 
 WEIGHTS = {"good": 0.7, "low": 0.3}
 
@@ -37,6 +39,37 @@ def test_targets_out_of_reach(spark):
     assert off(near, 40) < 1e-4 * near.sum()
 
 
+@pytest.mark.parametrize("spread", [0.1, 0.5, 2.0])
+@pytest.mark.parametrize("weights", [[0.98, 0.01, 0.01], [0.2, 0.2, 0.6], [0.001, 0.001, 0.998]])
+def test_targets_far_from_shares(spark, spread, weights):
+    """Targets that can be met are, however many rates become 0; for others no document's rate can better the distance."""
+    rng = np.random.default_rng(5)
+    n = [1680, 200, 120]
+    p = np.vstack([rng.dirichlet(spread / 2 + 2 * np.eye(3)[d], n[d]) for d in range(3)])
+    t = np.exp(rng.normal(5, 1, len(p))).round() + 1
+    df = spark.createDataFrame([(i, int(t[i]), [float(x) for x in p[i]]) for i in range(len(p))], "doc_id long, tokens long, p array<double>").coalesce(2)
+    goal = np.array(weights)
+    v, left, proved = solve(df, (goal * t.sum()).tolist())
+    x = np.maximum(0, 1 - p @ v)
+    off = (t * x) @ p / t.sum() - goal
+    assert proved and abs(np.linalg.norm(off) - left) < 1e-8
+    if left > 1e-6:
+        assert (p @ off).min() > -1e-6 and abs(off @ (goal + off)) < 1e-6
+    else:
+        assert np.abs(off).max() < 2e-6
+    if weights[0] == 0.2:
+        assert left <= 1e-6
+    rows = rates(df, (goal * t.sum()).tolist(), most_steps=1).limit(1).collect()
+    assert not rows[0].proved and rows[0].residual > 1e-3
+
+
+def test_unproved_rates_raise(spark, prose, monkeypatch):
+    docs, labels = corpus(spark, prose)
+    monkeypatch.setattr(mixing, "solve", lambda *a: (np.zeros(2), 0.25, False))
+    with pytest.raises(RuntimeError, match="0.25"):
+        mix(docs, labels, WEIGHTS)
+
+
 def test_edges(docs, documents, empty, spark):
     labels = spark.createDataFrame([(0, "good"), (37, "low")], "doc_id long, domain string")
     assert mix(docs, labels, WEIGHTS).count() == len(documents)
