@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from logfathom.llm._shared import stage
 
-#: Share of words or characters that each rule judges, and the least spread its fence grants over the upper quartile.
-RULES = {"symbol_rate": 0.05, "word_length": 1.5, "dup_line_rate": 0.3, "repeat_rate": 0.2}
+#: The rates that the rules judge, and those that most documents have none of, whose tail tells more than their quartiles.
+RULES = ["symbol_rate", "word_length", "dup_line_rate", "repeat_rate"]
+_RARE, _TAIL = ("dup_line_rate", "repeat_rate"), 0.98
 _WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
@@ -53,11 +54,14 @@ def quality_filter(docs: DataFrame, spread: float = 3.0, least_group: int = 50,
     """The figures of every document and whether it is kept; one row for each row of docs.
 
     base_failed: fewer than 10 words, or over 20 % of the words in five-word windows that the text has twice. Of the
-    documents that pass, each rate in RULES must not be over its fence, q3 + max(spread * (q3 - q1), the rule's least
-    spread); word_length has a lower fence as well. q1 and q3 are quartiles of the documents of one language and source,
-    or of the language where those are fewer than ``least_group``, from KLL sketches of size k (exact for up to k
-    documents, rank error about 2.3 / k beyond). A null lang or source is a value of its own. A null text has no words
-    (and fails). Repeated rows count each; ties change nothing; extra columns are ignored; no rows give no rows.
+    documents that pass, each rate in RULES must not be over its fence, q3 + max(spread * (q3 - q1), least); word_length
+    has a lower fence as well. least is half as much again as the 98th percentile is over q3 for repeated lines and
+    words, which most documents have none of, else spread times the way from the median to the nearer of the 5th and 95th
+    percentiles (so that a group with many bad documents doesn't widen its fence): where q1 = q3 = 0, no symbols at all.
+    All quantiles are of the documents of one language and source, or of the language where those are fewer than
+    ``least_group``, from KLL sketches of size k (exact for up to k documents, rank error about 2.3 / k beyond). A null
+    lang or source is a value of its own. A null text has no words (and fails). Repeated rows count each; ties change
+    nothing; extra columns are ignored; no rows give no rows.
     """
     got = stage(figures(docs), "figures")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -71,7 +75,8 @@ def quality_filter(docs: DataFrame, spread: float = 3.0, least_group: int = 50,
     def fence(c: str, up: bool):
         sketch = F.when(F.col("n") >= least_group, F.col(c)).otherwise(F.col(f"{c}_all"))
         q = lambda x: F.kll_sketch_get_quantile_double(sketch, F.lit(x))
-        room = F.greatest(spread * (q(0.75) - q(0.25)), F.lit(RULES[c]))
+        least = 1.5 * (q(_TAIL) - q(0.75)) if c in _RARE else spread * F.least(q(0.95) - q(0.5), q(0.5) - q(0.05))
+        room = F.greatest(spread * (q(0.75) - q(0.25)), least)
         return q(0.75) + room if up else q(0.25) - room
 
     fences = both.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *[fence(c, True).alias(f"{c}_most") for c in RULES], fence("word_length", False).alias("word_length_least"))

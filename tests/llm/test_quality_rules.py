@@ -29,3 +29,21 @@ def test_fences(spark, prose):
     assert not got[900].kept and not got[900].base_failed
     assert all(got[i].base_failed and not got[i].kept for i in (901, 902, 904))
     assert got[903].kept
+
+
+def test_fences_follow_the_group(spark, prose):
+    """A text with a tenth of its words repeated, under the base rule's fifth, goes where others have none and stays where
+    many do; few symbols and few repeated lines go where others have none."""
+    def again(i):
+        t = prose(100, i).replace("\n", "")
+        return t + " " + " ".join(t.split()[:5])
+
+    lines = "\n".join(prose(12, 3000 + i).replace("\n", "") for i in range(8))
+    some = prose(100, 2002).replace("\n", "").split(" ")
+    items = [(i, prose(100, i).replace("\n", ""), "en", "none") for i in range(100)] + [(1000 + i, again(i) if i % 2 else prose(100, i), "en", "many") for i in range(100)]
+    items += [(2000, again(7), "en", "none"), (2001, again(7), "en", "many"), (2002, " ".join([some[0] + "#", *some[1:]]), "en", "none"), (2003, lines + "\nko ti\nko ti", "en", "none")]
+    got = {r.doc_id: r for r in quality_filter(spark.createDataFrame(items, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i].base_failed for i in (2000, 2001, 2002, 2003)) and 0.05 < got[2000].n_repeat_words / got[2000].n_words < 0.2
+    assert not got[2000].kept and got[2001].kept
+    assert not got[2002].kept and not got[2003].kept
+    assert sum(got[i].kept for i in range(100)) >= 97
