@@ -20,6 +20,10 @@ from logfathom.llm._words import slices, text_bytes, word_hashes, word_spans
 _FOLD = np.array([b if b > 127 else b | 0x20 if chr(b).isalpha() else 0x20 for b in range(256)], np.uint8)
 
 
+#: The top grade of the label scheme, see grades().
+TOXIC = 2
+
+
 @dataclass
 class Model:
     words: np.ndarray  # sorted hashes
@@ -47,15 +51,18 @@ def severities(doc: np.ndarray, h: np.ndarray, docs: int, model: Model) -> np.nd
     return 1 / (1 + np.exp(np.clip(model.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def train(doc: np.ndarray, h: np.ndarray, grades: np.ndarray, least_docs: int = 3, l2: float = 1e-5, steps: int = 800) -> Model:
+def train(doc: np.ndarray, h: np.ndarray, grades: np.ndarray, least_docs: int = 3, l2: float = 1e-5, steps: int = 800, top: int | None = None) -> Model:
     """Fit by Adam on all rows. Words enter if they are in ``least_docs`` texts and their association with any grade
     boundary is significant (likelihood-ratio
-    statistic over 2 ln(words) + 6), so that the many words of few texts don't."""
+    statistic over 2 ln(words) + 6), so that the many words of few texts don't. ``top`` is the scheme's highest grade (None:
+    that of the rows); no text is over a threshold that no row is over."""
     kinds = np.unique(grades)
-    top = int(kinds.max()) if len(kinds) else 0
+    seen = int(kinds.max()) if len(kinds) else 0
+    beyond = [np.inf] * ((seen if top is None else top) - seen)
+    top = seen
     if len(kinds) < 2:  # nothing to tell apart: the one grade for every text
         level = int(kinds[0]) if len(kinds) else 0
-        return Model(np.zeros(0, np.uint64), np.zeros(0), np.array([-50.0] * level + [50.0] * (max(top, 1) - level)))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.array([-50.0] * level + [50.0] * (max(top, 1) - level) + beyond[max(1 - top, 0) :]))
     words, index = np.unique(h, return_inverse=True)
     pairs = np.unique(doc * len(words) + index)
     doc, index = pairs // len(words), pairs % len(words)
@@ -85,20 +92,22 @@ def train(doc: np.ndarray, h: np.ndarray, grades: np.ndarray, least_docs: int =
         g = np.concatenate([np.bincount(index, (du - dl)[doc], len(words)) + l2 * w, [dl[grades == k + 1].sum() - du[grades == k].sum() for k in range(top)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(words, x[: len(words)], np.maximum.accumulate(x[len(words) :]))
+    return Model(words, x[: len(words)], np.concatenate([np.maximum.accumulate(x[len(words) :]), beyond]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 2500) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 4000, top: int = TOXIC) -> Model:
     """Fit on at most ``per_grade`` labelled documents of each grade, those with the smallest hashes of doc_id.
 
-    labels: doc_id and grade (0, 1 ...; others and nulls are left out). Of several labels of one doc_id the highest
-    counts. The sample bounds what the driver receives; the model itself is applied to everything.
+    labels: doc_id and grade (0, 1 ... ``top``, which is toxic; a higher one is an error, negative ones and nulls are left
+    out). Without labels of the top grade no text is toxic. Of several labels of one doc_id the highest counts. The sample bounds what the driver receives; the model itself is applied to everything.
     """
     graded = labels.filter("doc_id is not null and grade >= 0").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     kinds = sorted(r[0] for r in graded.select("grade").distinct().limit(64).collect())
+    if kinds and kinds[-1] > top:
+        raise ValueError(f"grade {kinds[-1]} is over {top}, the highest of the scheme")
     picks = [graded.filter(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade) for g in kinds]
     if not picks:
-        return train(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return train(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), top=top)
     sample = reduce(DataFrame.union, picks)  # at most per_grade rows a grade: small enough to broadcast
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 2500) -> Model:
     order = sorted(range(len(each)), key=lambda i: (got.column("grade")[i].as_py(), each[i].tobytes()))  # whatever order rows came in
     grades = np.array([got.column("grade")[i].as_py() for i in order], np.int64)
     each = [each[i] for i in order]
-    return train(np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate([np.zeros(0, np.uint64), *each]), grades)
+    return train(np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate([np.zeros(0, np.uint64), *each]), grades, top=top)
 
 
 def grade_documents(docs: DataFrame, model: Model, flag_over: float = 0.5) -> DataFrame:
@@ -153,4 +162,4 @@ def grades(labels: DataFrame) -> DataFrame:
     (With the toxic split by quality, which no word predicts, such a text would have to lie between two thresholds.)
     """
     low = F.when(F.col("quality") == 0, 1).otherwise(0)
-    return labels.select("doc_id", F.when(F.col("toxic") == 1, 2).when(F.col("toxic") == 0, low).alias("grade"))
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, TOXIC).when(F.col("toxic") == 0, low).alias("grade"))

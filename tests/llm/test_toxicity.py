@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from logfathom.llm.toxicity import fit, grade_documents, grades, reject_toxic, severities, train, words_present
 
@@ -39,3 +40,18 @@ def test_documents(spark, docs, documents, empty, prose):
     assert reject_toxic(docs, m).columns == docs.columns and reject_toxic(empty, m).count() == 0
     assert grade_documents(empty, m).count() == 0
     assert len(fit(train_docs, grades(labels).limit(0)).words) == 0
+
+
+def test_no_toxic_labels(spark, prose):
+    """Without labels of the top grade nothing is toxic, however low its quality; a grade alone says only itself."""
+    texts = [(i, prose(30, i) + (" spam" * 3 if i % 2 else "")) for i in range(200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for low in (lambda i: i % 2, lambda i: 1, lambda i: 0):
+        labels = spark.createDataFrame([(i, 1 - low(i), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+        m = fit(df, grades(labels))
+        assert len(m.thresholds) == 2
+        assert all(abs(r.severity - low(r.doc_id)) < 0.5 and not r.toxic for r in grade_documents(df, m).collect())
+        assert reject_toxic(df, m).count() == 200
+    assert len(fit(df, grades(labels).limit(0)).thresholds) == 2
+    with pytest.raises(ValueError, match="grade 3"):
+        fit(df, spark.createDataFrame([(1, 3)], "doc_id long, grade int"))
