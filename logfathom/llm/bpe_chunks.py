@@ -196,8 +196,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, bits: int = 10, keep_
     seen = stage(rows.mapInArrow(index, "h binary, th long, doc_id long").groupBy("h", "th").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")), "chunks")
     shared = seen.groupBy("h").agg(F.sum("n").alias("n"), F.min(F.struct("th", "doc_id")).alias("owner")).filter("n > 1")
     owners = shared.groupBy("owner").agg(F.collect_list("h").alias("wanted")).select(F.col("owner.th").alias("th"), F.col("owner.doc_id").alias("owner_id"), "wanted")
-    # The owner's copies have its text too, but only the owner encodes. Not written as an equality, which would become a join key.
-    mine = F.abs(F.coalesce("owner_id", F.lit(-1)) - F.coalesce("doc_id", F.lit(-1))) < 1
+    # The owner's copies have its text too, but only the owner encodes. Not written as an equality, which would become a
+    # join key; neither is a number taken from another, as ids may be any.
+    apart = (F.col("owner_id") < F.col("doc_id")) | (F.col("owner_id") > F.col("doc_id"))
+    mine = F.coalesce(~apart, F.col("owner_id").isNull() & F.col("doc_id").isNull())
     once = texts.join(owners.hint("merge"), "th").filter(mine).select("z", "wanted").mapInArrow(encode_owned, "h binary, ids binary")
     ids = once.groupBy("h").agg(F.first("ids").alias("ids"))
     known = seen.select("h", "th").join(ids, "h").groupBy("th").agg(F.collect_list(F.struct("h", "ids")).alias("known"))
