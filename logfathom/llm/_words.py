@@ -1,11 +1,13 @@
 """Words, word hashes and word-window hashes of a batch of texts, in numpy.
 
-A word is a maximal run of bytes other than space and 0x09..0x0D. A word's hash is a polynomial over its bytes
-(mod 2**64, by prefix sums) put through a mixer; a window's hash is a polynomial over its words' hashes.
+A word is a maximal run of bytes other than space and 0x09..0x0D. A word's hash takes its bytes eight at a time, each
+step through a mixer that no sum or product of the bytes gets around; a word of more than 128 bytes goes to BLAKE2b. A
+window's hash is a tree of pairs of hashes, mixed at every level. Two lanes with keys of their own make 128 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +15,9 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_PIECE = 1 << 20
-_MULT = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_LONG = 128  # bytes of a word from which BLAKE2b hashes it
+_KEYS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_RIGHT = np.uint64(0xA0761D6478BD642F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,23 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _table(lane: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULT[lane]))
-
-
-def _power(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The multiplier's powers 0..n and those of its inverse."""
-    if lane not in _powers or len(_powers[lane][0]) <= n:
-        m = _MULT[lane]
-        both = []
-        for base in (m, pow(m, -1, 1 << 64)):
-            p = np.full(n + 1, base, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        _powers[lane] = (both[0], both[1])
-    return _powers[lane]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -90,23 +75,35 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash for each word. Texts are taken in pieces of a MB."""
-    out = np.empty(len(starts), np.uint64)
-    table, at = _table(lane), 0
-    while at < len(starts):
-        base = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, base + _PIECE, "right")))
-        part = data[base : ends[to - 1]]
-        power, inverse = _power(lane, max(_PIECE, len(part)))
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(table[part] * power[: len(part)], out=sums[1:])
-        s, e = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
-        at = to
+    """A 64-bit hash for each word, keyed by the lane."""
+    key = np.uint64(_KEYS[lane])
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + key)
+    if not len(starts):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from every byte on
+    live, at = np.flatnonzero(lengths <= _LONG), 0
+    if len(live) == len(starts):
+        live = np.arange(len(starts))
+    while len(live):
+        left = np.minimum(lengths[live] - at, 8).astype(np.uint64)
+        part = eights[starts[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8)))
+        out[live] = mix(out[live] + mix(part ^ key))
+        at += 8
+        live = live[lengths[live] > at]
+    for i in np.flatnonzero(lengths > _LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=_KEYS[lane].to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
     return out
 
 
-def window_hashes(words: np.ndarray, first: np.ndarray, size: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of two hashes in this order."""
+    return mix(left + mix(right ^ _RIGHT))
+
+
+def window_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all windows of ``size`` words inside one text; the text's index and the window's first word in it."""
     counts = np.maximum(0, np.diff(first) - size + 1)
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -114,9 +111,14 @@ def window_hashes(words: np.ndarray, first: np.ndarray, size: int, lane: int = 0
     n = len(words) - size + 1
     if n <= 0 or len(doc) == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    step, factor = _MULT[1 - lane], 1
-    total = np.zeros(n, np.uint64)
-    for j in range(size):
-        total += words[j : j + n] * np.uint64(factor)
-        factor = factor * step % (1 << 64)
-    return mix(total[first[:-1][doc] + pos]), doc, pos
+    # runs[i]: the hash of the ``width`` words from i on; the window is put together from widths that are powers of two.
+    runs, width, whole, have = words, 1, None, 0
+    while True:
+        if size & width:
+            whole = runs[:n] if whole is None else pair(whole, runs[have : have + n])
+            have += width
+        if have == size:
+            break
+        runs = pair(runs[: len(runs) - width], runs[width:])
+        width *= 2
+    return whole[first[:-1][doc] + pos], doc, pos

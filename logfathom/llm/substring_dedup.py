@@ -169,7 +169,7 @@ def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None
                     np.add.at(wanted, np.maximum(q - size, first[i]), 1)
                     np.add.at(wanted, np.minimum(q + 1, first[i + 1]), -1)
                 a, doc, pos = window_hashes(word_hashes(data, starts, ends), first, window)
-                b, _, _ = window_hashes(word_hashes(data, starts, ends, 1), first, window, 1)
+                b, _, _ = window_hashes(word_hashes(data, starts, ends, 1), first, window)
                 take = np.cumsum(wanted)[first[:-1][doc] + pos] > 0
                 a, b, doc, pos = a[take], b[take].astype("<u4"), doc[take], pos[take]
                 d = part.column("doc_id").fill_null(_LAST).to_numpy()
