@@ -26,6 +26,8 @@ from logfathom.llm._shared import stage
 from logfathom.llm._words import mix, slices, text_bytes, window_hashes, word_hashes, word_spans
 from logfathom.llm.components import components
 
+_SALTS = 64
+
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes, counts and each text's first one; a text of 1 to size - 1 words is one shingle."""
@@ -123,7 +125,7 @@ def link_outside(h: np.ndarray, n: np.ndarray, first: np.ndarray, roots: list[in
     return links
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 25, rows: int = 4, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 25, rows: int = 4, block: int = 2048, block_bytes: int = 8_000_000) -> DataFrame:
     """The class of every document: doc_id, class_id, text_key, class_key; one row for each row of docs.
 
     Documents are linked if their probability Jaccard is at least the threshold; classes are the components of all
@@ -132,6 +134,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     similarity 0.8 are missed as candidates once in 500,000. A text without words (null, empty, blank) is alike to none:
     class_id is its own doc_id and class_key is null. A text of 1 to 4 words is a single shingle. Repeated rows are
     copies of each other. Extra columns are ignored; an empty table gives no rows.
+
+    A leader's bucket is dealt over tasks by ``block`` members, a cluster of buckets over blocks of about ``block`` nodes
+    or ``block_bytes`` bytes of text, whichever is less, so that no task holds a whole group.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +154,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            packed = pa.array([z.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), packed], names=["text_key", "z"])
+            raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            columns = [batch.column("text_key"), pa.array(map(len, raw), pa.int64()), pa.array(map(z.compress, raw), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["text_key", "bytes", "z"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -194,20 +200,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     members = stage(spread.join(sizes, "band"), "members")
 
     wanted = members.select("node").distinct().join(nodes.select("node", "text_key"), "node")
-    texts = keyed.select("text_key", "text").mapInArrow(squeeze, "text_key string, z binary").groupBy("text_key").agg(F.first("z").alias("z"))
-    texts = stage(texts.join(wanted.hint("merge"), "text_key").select("node", "z"), "texts")
+    texts = keyed.select("text_key", "text").mapInArrow(squeeze, "text_key string, bytes long, z binary").groupBy("text_key").agg(F.first("bytes").alias("bytes"), F.first("z").alias("z"))
+    texts = stage(texts.join(wanted.hint("merge"), "text_key").select("node", "bytes", "z"), "texts")
 
     def compared(pairs: DataFrame, label: str) -> DataFrame:
-        """The similarity of each pair (u, v); rows come grouped by u, whose shingles are kept from row to row."""
+        """The similarity of each pair (u, v, part); rows come grouped by u, whose shingles are kept from row to row. A u with
+        many pairs has them in several parts, each with a copy of its text."""
         with_v = pairs.join(texts.select(F.col("node").alias("v"), F.col("z").alias("zv")), "v")
-        with_u = with_v.join(texts.select(F.col("node").alias("u"), F.col("z").alias("zu")).hint("merge"), "u")
+        copies = pairs.select("u", "part").distinct().join(texts.select(F.col("node").alias("u"), F.col("z").alias("zu")), "u")
+        with_u = with_v.join(copies.hint("merge"), ["u", "part"])
         return stage(with_u.select("u", "v", "zu", "zv").mapInArrow(compare, "u long, v long, sim double"), label)
 
     shared = members.groupBy("node").agg(F.sum("n").alias("shared"))
     ranked = members.join(shared, "node")
     leaders = stage(ranked.groupBy("band").agg(F.max(F.struct("shared", (-F.col("node")).alias("least"))).alias("top")).select("band", (-F.col("top.least")).alias("u")), "leaders")
-    led = members.select("band", F.col("node").alias("v")).join(leaders, "band").filter("u <> v")
-    first = compared(led.select("u", "v").distinct(), "with-leaders")
+    led = members.select("band", "n", F.col("node").alias("v")).join(leaders, "band").filter("u <> v")
+    led = led.groupBy("u", "v").agg(F.max("n").alias("n"))
+    first = compared(led.select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / block)).alias("part")), "with-leaders")
     links = first.filter(F.col("sim") >= threshold - 1e-9).select("u", "v")
     roots = stage(components(links), "components")
 
@@ -221,14 +230,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         clusters = components(placed.select("u", F.col("node").alias("v")))
         status = placed.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("leader_root")).alias("outside"))
         status = stage(status.join(clusters.withColumnRenamed("root", "cluster"), "node").join(texts, "node"), "clusters")
-        sizes = status.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("all_blocks"), F.ceil(F.count_if("outside") / block).alias("out_blocks"))
-        sized = status.join(sizes, "cluster")
+        # Of clusters with several blocks the numbers go to salted parts of the cluster, so that none is one task's.
+        blocks = lambda rows, size: F.ceil(F.greatest(rows / block, size / block_bytes))
+        sizes = status.groupBy("cluster").agg(blocks(F.count("*"), F.sum("bytes")).alias("all_blocks"), F.coalesce(blocks(F.count_if("outside"), F.sum(F.when(F.col("outside"), F.col("bytes")))), F.lit(0)).alias("out_blocks"))
+        several = sizes.filter("all_blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+        salted = status.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(_SALTS)).cast("long")).join(several, ["cluster", "salt"], "left")
+        sized = salted.withColumns({"all_blocks": F.coalesce("all_blocks", F.lit(1).cast("long")), "out_blocks": F.coalesce("out_blocks", F.lit(1).cast("long"))})
         at = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         row = ["node", "root", "outside", "z"]
         outer = sized.filter("outside").select("cluster", at("o", "out_blocks").alias("i"), every("all_blocks").alias("j"), *row)
         inner = sized.filter("out_blocks > 0").select("cluster", every("out_blocks").alias("i"), at("m", "all_blocks").alias("j"), "node", "root", F.lit(False).alias("outside"), "z")
-        more = stage(outer.union(inner).groupBy("cluster", "i", "j").applyInArrow(link_block, "u long, v long"), "across")
+        dealt = outer.union(inner).repartition("cluster", "i", "j")  # or Spark would keep a cluster's blocks together
+        more = stage(dealt.groupBy("cluster", "i", "j").applyInArrow(link_block, "u long, v long"), "across")
         if not more.isEmpty():
             roots = stage(components(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)), "components")
 
