@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a temporary folder becomes it."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a temporary folder becomes it in local mode (tests); on
+    a cluster that is an error, since executors don't see the driver's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -24,7 +27,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, and kept when executors go."""
+    """Write df to the shared folder and read it back: computed once, and kept when executors go. Results are lazy and may
+    read staged tables at any time, so nothing here removes them: who owns the shared folder clears it when a job ends."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
