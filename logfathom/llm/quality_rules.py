@@ -6,7 +6,9 @@ Everything is Spark SQL expressions: the figures of a text come from its own wor
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfathom.llm._shared import stage
@@ -50,39 +52,46 @@ def _rates(df: DataFrame) -> DataFrame:
     })
 
 
-def quality_filter(docs: DataFrame, spread: float = 3.0, least_group: int = 50, k: int = 400) -> DataFrame:
+def quality_filter(docs: DataFrame, spread: float = 3.0, prior: float = 20.0, k: int = 400, explain: bool = False) -> DataFrame:
     """The figures of every document and whether it is kept; one row for each row of docs.
 
     base_failed: fewer than 10 words, or over 20 % of the words in five-word windows that the text has twice. Of the
-    documents that pass, each rate in RULES must not be over its fence, q3 + max(spread * (q3 - q1), least); word_length
-    has a lower fence as well. least is half as much again as the 98th percentile is over q3 for repeated lines and
-    words, which most documents have none of, else spread times the way from the median to the nearer of the 5th and 95th
-    percentiles (so that a group with many bad documents doesn't widen its fence): where q1 = q3 = 0, no symbols at all.
-    All quantiles are of the documents of one language and source, or of the language where those are fewer than
-    ``least_group``, from KLL sketches of size k (exact for up to k documents, rank error about 2.3 / k beyond). A null
-    lang or source is a value of its own. A null text has no words (and fails). Repeated rows count each; ties change
-    nothing; extra columns are ignored; no rows give no rows.
+    documents that pass, each rate in RULES must not be over its fence; word_length has a lower fence as well. A group's
+    fence is q3 + max(spread * (q3 - q1), tail), with a tail of half as much again as the 98th percentile is over q3 for
+    repeated lines and words, which most documents have none of, else spread times the way from the median to the nearer
+    of the 5th and 95th percentiles (so that a group with many bad documents doesn't widen its fence): where q1 = q3 = 0,
+    no symbols at all. All quantiles are from KLL sketches of size k (exact for up to k documents, rank error about 2.3 / k
+    beyond), which merge: by language and source, by language, and of all. A document's fence is the mean of its
+    group's, counted by the group's documents, and its language's, counted as ``prior`` documents; a language's is the mean
+    of its own and that of all in the same way. So a small source leans on its language without any cutoff.
+
+    A null lang or source is a value of its own. A null text has no words (and fails). Repeated rows count each; ties change
+    nothing; extra columns are ignored; no rows give no rows. explain adds a column for each rule: over_<rule>, and under
+    for too short words.
     """
     got = stage(figures(docs), "figures")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     got = _rates(got.withColumn("base_failed", failed))
-    # Two levels in one pass over groups: a sketch by language and source, merged by language.
+    # Three levels in one pass over the documents: sketches by language and source, which merge by language and of all.
     fine = got.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(k)).alias(c) for c in RULES])
     fine = stage(fine, "sketches")
-    coarse = fine.groupBy("lang").agg(*[F.kll_merge_agg_double(c).alias(f"{c}_all") for c in RULES])
-    both = fine.join(coarse, fine.lang.eqNullSafe(coarse.lang)).drop(coarse.lang)
-
-    def fence(c: str, up: bool):
-        sketch = F.when(F.col("n") >= least_group, F.col(c)).otherwise(F.col(f"{c}_all"))
-        q = lambda x: F.kll_sketch_get_quantile_double(sketch, F.lit(x))
-        least = 1.5 * (q(_TAIL) - q(0.75)) if c in _RARE else spread * F.least(q(0.95) - q(0.5), q(0.5) - q(0.05))
-        room = F.greatest(spread * (q(0.75) - q(0.25)), least)
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(c).alias(c) for c in RULES]]
+
+    def fence(c: str, up: bool) -> Column:
+        q = lambda x: F.kll_sketch_get_quantile_double(F.col(c), F.lit(x))
+        tail = 1.5 * (q(_TAIL) - q(0.75)) if c in _RARE else spread * F.least(q(0.95) - q(0.5), q(0.5) - q(0.05))
+        room = F.greatest(spread * (q(0.75) - q(0.25)), tail)
         return q(0.75) + room if up else q(0.25) - room
 
-    fences = both.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *[fence(c, True).alias(f"{c}_most") for c in RULES], fence("word_length", False).alias("word_length_least"))
-    joined = got.join(fences, got.lang.eqNullSafe(fences.of_lang) & got.source.eqNullSafe(fences.of_source), "left")
-    inside = F.col("word_length") >= F.col("word_length_least")
-    for c in RULES:
-        inside &= F.col(c) <= F.col(f"{c}_most")
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    fences = {**{f"most_{c}": fence(c, True) for c in RULES}, "least_word_length": fence("word_length", False)}
+    level = lambda df, *keys: df.select(*keys, "n", *[f.alias(name) for name, f in fences.items()])
+    lean = lambda own, n, wide: (own * n + wide * prior) / (n + prior)
+    whole = level(fine.agg(*merged).filter("n > 0")).first() if not fine.isEmpty() else None  # five numbers
+    coarse = level(fine.groupBy("lang").agg(*merged), "lang")
+    coarse = coarse.select(F.col("lang").alias("of_lang"), *[lean(F.col(c), F.col("n"), F.lit(whole[c] if whole else None).cast("double")).alias(f"wide_{c}") for c in fences])
+    own = level(fine, "lang", "source")
+    both = own.join(coarse, own.lang.eqNullSafe(coarse.of_lang)).select("of_lang", F.col("source").alias("of_source"), *[lean(F.col(c), F.col("n"), F.col(f"wide_{c}")).alias(c) for c in fences])
+    joined = got.join(both, got.lang.eqNullSafe(both.of_lang) & got.source.eqNullSafe(both.of_source), "left")
+    out = {f"over_{c}": F.coalesce(F.col(c) > F.col(f"most_{c}"), F.lit(False)) for c in RULES} | {"under_word_length": F.coalesce(F.col("word_length") < F.col("least_word_length"), F.lit(False))}
+    kept = ~F.col("base_failed") & ~reduce(lambda a, b: a | b, out.values())
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *([c.alias(name) for name, c in out.items()] if explain else []))
