@@ -15,13 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logfathom.llm._shared import stage
 from logfathom.llm._words import slices, text_bytes, word_hashes, word_spans
 
 _FOLD = np.array([b if b > 127 else b | 0x20 if chr(b).isalpha() else 0x20 for b in range(256)], np.uint8)
 
 
-#: The top grade of the label scheme, see grades().
-TOXIC = 2
+#: The top grade of the label scheme, see grades(); in how many documents a word must be to be learned.
+TOXIC, LEAST_DOCS = 2, 3
+
+
+def least_gain(words: int) -> float:
+    """The likelihood-ratio statistic over which a word's association counts, one of so many that are tried."""
+    return float(2 * np.log(max(2, words)) + 6)
 
 
 @dataclass
@@ -51,10 +57,10 @@ def severities(doc: np.ndarray, h: np.ndarray, docs: int, model: Model) -> np.nd
     return 1 / (1 + np.exp(np.clip(model.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def train(doc: np.ndarray, h: np.ndarray, grades: np.ndarray, least_docs: int = 3, l2: float = 1e-5, steps: int = 800, top: int | None = None) -> Model:
+def train(doc: np.ndarray, h: np.ndarray, grades: np.ndarray, least_docs: int = LEAST_DOCS, l2: float = 1e-5, steps: int = 800, top: int | None = None) -> Model:
     """Fit by Adam on all rows. Words enter if they are in ``least_docs`` texts and their association with any grade
     boundary is significant (likelihood-ratio
-    statistic over 2 ln(words) + 6), so that the many words of few texts don't. ``top`` is the scheme's highest grade (None:
+    statistic over least_gain()), so that the many words of few texts don't. ``top`` is the scheme's highest grade (None:
     that of the rows); no text is over a threshold that no row is over."""
     kinds = np.unique(grades)
     seen = int(kinds.max()) if len(kinds) else 0
@@ -74,7 +80,7 @@ def train(doc: np.ndarray, h: np.ndarray, grades: np.ndarray, least_docs: int =
         if 0 < p < 1:
             gain = a * np.log(np.maximum(a, 1e-9) / (df * p)) + (df - a) * np.log(np.maximum(df - a, 1e-9) / (df * (1 - p)))
             best = np.maximum(best, 2 * gain)
-    good = (df >= least_docs) & (best > 2 * np.log(max(2, (df >= least_docs).sum())) + 6)
+    good = (df >= least_docs) & (best > least_gain((df >= least_docs).sum()))
     new = np.cumsum(good) - 1
     keep = good[index]
     doc, index, words = doc[keep], new[index[keep]], words[good]
@@ -95,33 +101,54 @@ def train(doc: np.ndarray, h: np.ndarray, grades: np.ndarray, least_docs: int =
     return Model(words, x[: len(words)], np.concatenate([np.maximum.accumulate(x[len(words) :]), beyond]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 4000, top: int = TOXIC) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 4000, top: int = TOXIC, vocabulary: int = 1 << 16) -> Model:
     """Fit on at most ``per_grade`` labelled documents of each grade, those with the smallest hashes of doc_id.
 
     labels: doc_id and grade (0, 1 ... ``top``, which is toxic; a higher one is an error, negative ones and nulls are left
-    out). Without labels of the top grade no text is toxic. Of several labels of one doc_id the highest counts. The sample bounds what the driver receives; the model itself is applied to everything.
+    out). Without labels of the top grade no text is toxic. Of several labels of one doc_id the highest counts. Words are
+    counted and chosen, as train() does, by Spark; the driver receives which of the chosen ones (``vocabulary`` at most,
+    the most telling) each sampled document has. The sample bounds only the fit; the model is applied to everything.
     """
     graded = labels.filter("doc_id is not null and grade >= 0").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
-    kinds = sorted(r[0] for r in graded.select("grade").distinct().limit(64).collect())
-    if kinds and kinds[-1] > top:
-        raise ValueError(f"grade {kinds[-1]} is over {top}, the highest of the scheme")
-    picks = [graded.filter(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade) for g in kinds]
-    if not picks:
+    highest = graded.agg(F.max("grade")).first()[0]
+    if highest is not None and highest > top:
+        raise ValueError(f"grade {highest} is over {top}, the highest of the scheme")
+    if highest is None:
         return train(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), top=top)
+    picks = [graded.filter(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade) for g in range(highest + 1)]
     sample = reduce(DataFrame.union, picks)  # at most per_grade rows a grade: small enough to broadcast
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for x in batches for part in slices(x, "text")):
             doc, h = words_present(batch.column("text"))
-            size = np.uint64(max(1, batch.num_rows))
             order = np.lexsort((h, doc))
             doc, h = doc[order], h[order]
             new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, bool)
             doc, h = doc[new], h[new]
-            ends = np.searchsorted(doc, np.arange(int(size) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["grade", "words"])
-
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(extract, "grade int, words binary").toArrow()
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))], names=["grade", "words"])
+
+    rows = stage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(extract, "grade int, words array<long>"), "toxicity-sample")
+    sizes = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    total, kept = sum(sizes.values()), np.zeros(0, np.int64)
+    if len(sizes) > 1:
+        counts = rows.select("grade", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), *[F.count_if(F.col("grade") > k).alias(f"over_{k}") for k in range(highest)])
+        counts = stage(counts.filter(F.col("n") >= LEAST_DOCS), "toxicity-words")
+        n, gains = F.col("n").cast("double"), []
+        for k in range(highest):
+            a, share = F.col(f"over_{k}").cast("double"), sum(c for g, c in sizes.items() if g > k) / total
+            if 0 < share < 1:
+                gains.append(2 * (a * F.log(F.greatest(a, F.lit(1e-9)) / (n * share)) + (n - a) * F.log(F.greatest(n - a, F.lit(1e-9)) / (n * (1 - share)))))
+        best = counts.withColumn("gain", F.greatest(*gains, F.lit(0.0)))
+        chosen = best.filter(F.col("gain") > least_gain(counts.count())).orderBy(F.desc("gain"), "w").limit(vocabulary)
+        kept = np.sort(np.array([r["w"] for r in chosen.select("w").collect()], np.int64))
+
+    def of_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.intersect1d(np.array(x, np.int64), kept).tobytes() for x in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(words, pa.binary())], names=["grade", "words"])
+
+    got = rows.mapInArrow(of_kept, "grade int, words binary").toArrow()
     each = [np.frombuffer(x, np.uint64) for x in got.column("words").to_pylist()]
     order = sorted(range(len(each)), key=lambda i: (got.column("grade")[i].as_py(), each[i].tobytes()))  # whatever order rows came in
     grades = np.array([got.column("grade")[i].as_py() for i in order], np.int64)
@@ -145,7 +172,8 @@ def grade_documents(docs: DataFrame, model: Model, flag_over: float = 0.5) -> Da
 
 
 def reject_toxic(docs: DataFrame, model: Model, flag_over: float = 0.5) -> DataFrame:
-    """The rows of docs that grade_documents() does not flag, with all their columns."""
+    """The rows of docs that grade_documents() does not flag, with all their columns. A null or empty text is flagged no
+    more than any without the model's words; repeated rows share a fate; an empty table gives no rows."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for x in batches for part in slices(x, "text")):

@@ -55,3 +55,38 @@ def test_no_toxic_labels(spark, prose):
     assert len(fit(df, grades(labels).limit(0)).thresholds) == 2
     with pytest.raises(ValueError, match="grade 3"):
         fit(df, spark.createDataFrame([(1, 3)], "doc_id long, grade int"))
+
+
+def test_against_a_plain_fit():
+    """Thresholds and shared weights of a maximum-likelihood fit by numeric gradients, on counts of a few kinds of texts."""
+    rng = np.random.default_rng(0)
+    words, true = np.array([11, 12, 13], np.uint64), np.array([1.5, 2.5, -1.0])
+    x = rng.random((900, 3)) < 0.4
+    latent = x @ true + rng.logistic(size=900)
+    y = (latent > 0.5).astype(int) + (latent > 3)
+    doc, at = np.nonzero(x)
+    m = train(doc, words[at], y, l2=0.0, steps=3000)
+
+    def loss(v):
+        theta = np.array([v[3], v[3] + np.exp(v[4])])
+        below = np.column_stack([np.zeros(900), 1 / (1 + np.exp(x @ v[:3] - theta[0])), 1 / (1 + np.exp(x @ v[:3] - theta[1])), np.ones(900)])
+        return -np.log(below[np.arange(900), y + 1] - below[np.arange(900), y]).mean()
+
+    v = np.zeros(5)
+    for _ in range(4000):
+        slope = np.array([(loss(v + 1e-5 * e) - loss(v - 1e-5 * e)) / 2e-5 for e in np.eye(5)])
+        v -= 1.0 * slope
+    assert m.words.tolist() == [11, 12, 13]
+    assert np.abs(m.weights - v[:3]).max() < 0.05 and np.abs(m.thresholds - [v[3], v[3] + np.exp(v[4])]).max() < 0.05
+
+
+def test_held_out(spark, prose):
+    """Graded on documents that the fit has not seen; one in ten labels is wrong, none of which is learned."""
+    kind = lambda i: (i * 7919) % 5
+    text = lambda i: prose(40, i) + {0: "", 1: "", 2: "", 3: " shoddy spam", 4: " vile wretch"}[kind(i)]
+    df = spark.createDataFrame([(i, text(i)) for i in range(900)], "doc_id long, text string")
+    grade = lambda i: {3: 1, 4: 2}.get(kind(i), 0) if i % 10 else (i // 10) % 3
+    m = fit(df, spark.createDataFrame([(i, grade(i)) for i in range(600)], "doc_id long, grade int"))
+    got = {r.doc_id: r for r in grade_documents(df.filter("doc_id >= 600"), m).collect()}
+    assert all(r.toxic == (kind(i) == 4) for i, r in got.items())
+    assert np.mean([abs(r.severity - {3: 1, 4: 2}.get(kind(i), 0)) for i, r in got.items()]) < 0.4
