@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from logfathom.llm._shared import stage
 
-_STRATUM, _UNIT_BITS = 1 << 16, 16
+_STRATUM, _UNIT_BITS = 1 << 12, 16
 
 _CUTS = {"symbols": [0.002, 0.01, 0.03, 0.1], "capitals": [0.01, 0.05, 0.15, 0.4], "digits": [0.001, 0.01, 0.05], "breaks": [0.002, 0.008, 0.02], "repeats": [0.2, 0.4, 0.6, 0.8], "marks": [0.001, 0.01, 0.05]}
 
@@ -212,7 +212,7 @@ def whole_copies(found: DataFrame) -> DataFrame:
 
     Documents are put in order by likeliest domain and length; a document gets as many copies as the running sum of rates
     passes whole numbers in it. As lengths in order hardly differ, what is rounded up and down nearly cancels: a domain is
-    off by about its longest document. Sums run inside strata of some 65,536 documents (a domain, a power of two of tokens
+    off by about its longest document. Sums run inside strata of some 4,096 documents (a domain, a power of two of tokens
     and a share of hashes) and are carried over by one row a stratum.
     """
     kind = F.array_position("p", F.array_max("p")).cast("int")
