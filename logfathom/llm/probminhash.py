@@ -125,7 +125,7 @@ def link_outside(h: np.ndarray, n: np.ndarray, first: np.ndarray, roots: list[in
     return links
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 25, rows: int = 4, block: int = 2048, block_bytes: int = 8_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 25, rows: int = 4, block: int = 1024, block_bytes: int = 8_000_000) -> DataFrame:
     """The class of every document: doc_id, class_id, text_key, class_key; one row for each row of docs.
 
     Documents are linked if their probability Jaccard is at least the threshold; classes are the components of all
