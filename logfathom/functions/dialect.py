@@ -155,6 +155,11 @@ def _has_alternatives(item: _Open, out: list[str | _Open]) -> bool:
     return False
 
 
+def bind(c: Column, f) -> Column:
+    """f of a column that is computed once, however often f names it: the variable of a one-element transform."""
+    return F.transform(F.array(c), f)[0]
+
+
 def match_groups(text: Column, java: str, count: int) -> Column:
     """The groups 1..count of the first match of a pattern as an array (a group that took no part is ``''``), null if
     there is no match. The pattern runs once, however many groups are used."""
@@ -163,5 +168,4 @@ def match_groups(text: Column, java: str, count: int) -> Column:
     whole = rf"{head}^[\s\S]*?(?:{java[len(head):]})[\s\S]*\z"
     clean = F.translate(text, MARK, "")
     marked = F.regexp_replace(clean, F.lit(whole), F.lit(MARK + MARK.join(f"${i}" for i in range(1, count + 1)) + MARK))
-    # Through a one-element array, so that the replaced text is there once and not once for each use.
-    return F.transform(F.array(marked), lambda m: F.when(m.startswith(MARK), F.slice(F.split(m, MARK), 2, count)))[0]
+    return bind(marked, lambda m: F.when(m.startswith(MARK), F.slice(F.split(m, MARK), 2, count)))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logfathom.functions.dialect import BadPattern, match_groups, rewrite
+from logfathom.functions.dialect import BadPattern, bind, match_groups, rewrite
 from logfathom.functions.values import LEVELS, ascii_fold, folded_tokens, to_num, tokens_of
 
 # Names under which the level and the timestamp are asked for (any case).
@@ -189,18 +189,31 @@ def capture(name: str, pattern: str) -> Column:
     return Capture(name, pattern).column()
 
 
+def js_number(c: Column) -> Column:
+    """A text as JavaScript's Number() takes it: blanks around, a sign, ``.5``, ``5.``, hexadecimal, octal and binary with
+    their prefixes, and an empty text as 0; else null."""
+
+    def number(s: Column) -> Column:
+        of_base = [F.when(s.rlike(rf"(?i)^0{mark}[{digits}]{{1,15}}\z"), F.conv(F.substring(s, 3, 15), base, 10).try_cast("double")) for mark, digits, base in (("x", "0-9a-f", 16), ("o", "0-7", 8), ("b", "01", 2))]
+        decimal = F.when(s.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), s.try_cast("double"))
+        found = F.coalesce(*of_base, decimal)
+        return F.when(s == "", F.lit(0.0)).when(F.abs(found) < float("inf"), found)
+
+    return bind(F.trim(F.regexp_replace(c, r"^[\s\x0B\u00a0\ufeff]+|[\s\x0B\u00a0\ufeff]+\z", "")), number)
+
+
 def capture_eq(c: Capture, value: str) -> Column:
-    return _sure(ascii_fold(c.column()) == ascii_fold(F.lit(value)))
+    return _sure(F.lower(c.column()) == value.lower())
 
 
 def capture_cmp(c: Capture, op: str, value: float | str) -> Column:
     if isinstance(value, str):
-        return _sure(_OPS[op](ascii_fold(c.column()), ascii_fold(F.lit(value))))
-    return _sure(_OPS[op](to_num(F.trim(c.column())), F.lit(float(value))))
+        return _sure(_OPS[op](F.lower(c.column()), F.lit(value.lower())))
+    return _sure(_OPS[op](js_number(c.column()), F.lit(float(value))))
 
 
 def capture_like(c: Capture, glob: str) -> Column:
-    return _sure(ascii_fold(c.column()).like(_like(glob).lower()))
+    return _sure(F.lower(c.column()).like(_like(glob).lower()))
 
 
 def capture_regex(c: Capture, pattern: str) -> Column:

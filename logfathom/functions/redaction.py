@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logfathom.functions.dialect import BadPattern, rewrite
+from logfathom.functions.dialect import BadPattern, bind, rewrite
 
 # What each category matches (JavaScript dialect), in the order in which they apply.
 SECRET = r"\b(pass(?:word|wd)?|pwd|secret|token|api[_-]?key|apikey|auth(?:orization)?|access[_-]?token|refresh[_-]?token|client[_-]?secret|session[_-]?id)\b(\s*[:=]\s*\"?)([^\s,;\"']+)"
@@ -21,28 +21,45 @@ TOKEN = r"\b(?=[A-Za-z0-9+/_=-]*\d)(?=[A-Za-z0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]
 CATEGORIES = ["secret", "jwt", "email", "ipv4", "ipv6", "card", "token"]
 
 
+# What a text must have for a category's pattern to be tried at all: each pattern's matches have it too.
+_NEEDS = {
+    "secret": r"[:=]", "bearer": r"(?i)bearer\s", "jwt": r"eyJ", "email": r"@", "ipv4": r"[0-9]\.[0-9]", "ipv6": r"[0-9a-fA-F:]:",
+    "card": r"[0-9](?:[ -]?[0-9]){12}", "token": r"[A-Za-z0-9+/_=-]{20}",
+}
+
+
+def _where(need: str, c: Column, f) -> Column:
+    """f of a text that has what its pattern needs, others as they are; the text is computed once."""
+    return bind(c, lambda x: F.when(x.rlike(_NEEDS[need]), f(x)).otherwise(x))
+
+
 def mask_secret(c: Column) -> Column:
     """``key=value`` to ``key=[secret]``, ``Bearer x`` to ``Bearer [secret]``."""
-    keyed = F.regexp_replace(c, rewrite(SECRET, ignore_case=True).java, "$1$2[secret]")
-    return F.regexp_replace(keyed, rewrite(BEARER, ignore_case=True).java, "Bearer [secret]")
+    keyed = _where("secret", c, lambda x: F.regexp_replace(x, rewrite(SECRET, ignore_case=True).java, "$1$2[secret]"))
+    return _where("bearer", keyed, lambda x: F.regexp_replace(x, rewrite(BEARER, ignore_case=True).java, "Bearer [secret]"))
 
 
 def mask_card(c: Column) -> Column:
     """Digit runs that pass the Luhn check to ``[card]``; others stay."""
     java = rewrite(CARD).java
-    found = F.regexp_extract_all(c, F.lit(java), F.lit(0))
-    masks = F.transform(found, lambda m: F.when(F.call_function("luhn_check", F.regexp_replace(m, r"\D", "")), F.lit("[card]")).otherwise(m))
-    return F.when(F.size(found) == 0, c).otherwise(F.array_join(F.zip_with(F.split(c, java, -1), masks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+
+    def mask(x: Column) -> Column:
+        found = F.regexp_extract_all(x, F.lit(java), F.lit(0))
+        masks = F.transform(found, lambda m: F.when(F.call_function("luhn_check", F.regexp_replace(m, r"\D", "")), F.lit("[card]")).otherwise(m))
+        return F.array_join(F.zip_with(F.split(x, java, -1), masks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return _where("card", c, mask)
 
 
-def _plain(pattern: str, label: str):
-    java = rewrite(pattern).java
-    return lambda c: F.regexp_replace(c, java, label.replace("\\", r"\\").replace("$", r"\$"))
+def _plain(pattern: str, label: str, need: str | None = None):
+    java, to = rewrite(pattern).java, label.replace("\\", r"\\").replace("$", r"\$")
+    replace = lambda x: F.regexp_replace(x, java, to)
+    return replace if need is None else lambda c: _where(need, c, replace)
 
 
 _MASKS = {
-    "secret": mask_secret, "jwt": _plain(JWT, "[jwt]"), "email": _plain(EMAIL, "[email]"), "ipv4": _plain(IPV4, "[ip]"),
-    "ipv6": _plain(IPV6, "[ip]"), "card": mask_card, "token": _plain(TOKEN, "[token]"),
+    "secret": mask_secret, "jwt": _plain(JWT, "[jwt]", "jwt"), "email": _plain(EMAIL, "[email]", "email"), "ipv4": _plain(IPV4, "[ip]", "ipv4"),
+    "ipv6": _plain(IPV6, "[ip]", "ipv6"), "card": mask_card, "token": _plain(TOKEN, "[token]", "token"),
 }
 
 

@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logfathom.functions.dialect import match_groups
+from logfathom.functions.dialect import bind, match_groups
 
 # The spellings of each level.
 LEVELS = {
@@ -71,32 +71,36 @@ def _utc_ms(year: Column, month: Column, day: Column, hour: Column, minute: Colu
     return ((F.unix_date(first).cast("long") + day - 1) * 24 + hour) * 3600000 + minute * 60000 + second * 1000
 
 
-def _once(groups: Column, f) -> Column:
-    """f of the groups of a match, which are found once; null without a match."""
-    return F.transform(F.array(groups), f)[0]
-
-
-def _ymd_ms(s: Column) -> Column:
-    """Epoch milliseconds of an ISO-like timestamp, else null."""
-    frac = lambda y: F.when(y[6] != "", F.round(F.concat(F.lit("0."), y[6]).try_cast("double") * 1000).cast("long")).otherwise(F.lit(0))
-    return _once(match_groups(s, YMD, 8), lambda y: _utc_ms(_int(y[0]), _int(y[1]), _int(y[2]), _int(y[3]), _int(y[4]), _int(y[5])) + frac(y) - _zone_ms(y[7]))
+def ymd_ms(s: Column) -> Column:
+    """Epoch milliseconds of an ISO-like timestamp, else null. Date and time stand at fixed places, so one search and
+    substrings will do; name a column, or a bound variable, since s is used for each part."""
+    part = lambda at, n: _int(F.substring(s, at, n))
+    rest = F.substring(s, 20, 64)
+    digits = F.regexp_extract(rest, r"^[.,](\d+)", 1)
+    frac = F.when(rest.rlike(r"^[.,]"), F.round(F.concat(F.lit("0."), digits).try_cast("double") * 1000).cast("long")).otherwise(F.lit(0))
+    zone = F.when(rest.rlike(r"[Z+-]"), _zone_ms(F.regexp_extract(rest, r"(?:Z|[+-].*)\z", 0))).otherwise(F.lit(0))
+    ms = _utc_ms(part(1, 4), part(6, 2), part(9, 2), part(12, 2), part(15, 2), part(18, 2))
+    return F.when(s.rlike(YMD), F.when(rest == "", ms).otherwise(ms + frac - zone))
 
 
 def parse_timestamp(c: Column, year: int | Column = 1970) -> Column:
     """A timestamp in milliseconds UTC: ISO-like with zone, access-log, syslog (in the given year), epoch seconds (10
     digits, decimals allowed) or milliseconds (13 digits), or one of GENERIC_FORMATS; else null."""
-    s = F.trim(c)
+    return F.timestamp_millis(bind(F.trim(c), lambda s: timestamp_ms(s, year)))
+
+
+def timestamp_ms(s: Column, year: int | Column = 1970) -> Column:
+    """Epoch milliseconds of a trimmed timestamp, as parse_timestamp(); a column, since it is used for each shape."""
     months = F.create_map(*[x for i in range(12) for x in (F.lit(_MONTHS[3 * i : 3 * i + 3]), F.lit(i + 1))])
     month = lambda x: F.element_at(months, F.lower(x)).cast("long")
     year = F.lit(year) if isinstance(year, int) else year
-    clf = _once(match_groups(s, CLF, 7), lambda a: _utc_ms(_int(a[2]), month(a[1]), _int(a[0]), _int(a[3]), _int(a[4]), _int(a[5])) - _zone_ms(a[6]))
-    syslog = _once(match_groups(s, SYSLOG, 5), lambda g: _utc_ms(year, month(g[0]), _int(g[1]), _int(g[2]), _int(g[3]), _int(g[4])))
+    clf = bind(match_groups(s, CLF, 7), lambda a: _utc_ms(_int(a[2]), month(a[1]), _int(a[0]), _int(a[3]), _int(a[4]), _int(a[5])) - _zone_ms(a[6]))
+    syslog = bind(match_groups(s, SYSLOG, 5), lambda g: _utc_ms(year, month(g[0]), _int(g[1]), _int(g[2]), _int(g[3]), _int(g[4])))
     seconds = F.when(s.rlike(r"^\d{10}(\.\d+)?\z"), F.round(s.try_cast("double") * 1000).cast("long"))
     millis = F.when(s.rlike(r"^\d{13}\z"), s.try_cast("long"))
     bare = F.regexp_replace(s, r"^[A-Za-z]{3},?\s+(?=[A-Za-z]{3}\s|\d)", "")
     generic = F.coalesce(*[F.unix_millis(F.try_to_timestamp(bare, F.lit(f))) for f in GENERIC_FORMATS])
-    ms = F.coalesce(_ymd_ms(s), clf, syslog, seconds, millis, generic)
-    return F.timestamp_millis(ms)
+    return F.coalesce(ymd_ms(s), clf, syslog, seconds, millis, generic)
 
 
 def sniff_level(c: Column) -> Column:
@@ -106,7 +110,7 @@ def sniff_level(c: Column) -> Column:
 
 def sniff_timestamp(c: Column) -> Column:
     """The first ISO-like timestamp of a line, else null."""
-    return F.timestamp_millis(_ymd_ms(F.regexp_extract(c, SNIFF_TS, 0)))
+    return F.timestamp_millis(bind(F.regexp_extract(c, SNIFF_TS, 0), ymd_ms))
 
 
 def template_of(c: Column) -> Column:

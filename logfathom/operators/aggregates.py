@@ -58,8 +58,14 @@ def bucketed(lines: DataFrame, buckets: int, width=width_floor) -> DataFrame:
 def time_histogram(lines: DataFrame, buckets: int = 100, width=width_floor) -> DataFrame:
     """bucket, start_ms, a count for each level and NONE, total, bucket_ms; buckets without lines are left out."""
     names = [*LEVEL_NAMES, "NONE"]
-    level = F.coalesce("level", F.lit("NONE"))
-    return bucketed(lines, buckets, width).groupBy("bucket", "start_ms", "bucket_ms").agg(*[F.count_if(level == n).alias(n) for n in names], F.count("*").alias("total"))
+    # The lines are read once: times and levels are counted first, and both the range and the buckets come from the counts.
+    counts = lines.filter("ts is not null").groupBy(F.unix_millis("ts").alias("ms"), F.coalesce("level", F.lit("NONE")).alias("level")).agg(F.count("*").alias("n"))
+    whole = F.struct("ms", "level", "n")  # all columns, so that both uses are the same exchange
+    span = counts.agg(F.min(whole)["ms"].alias("lo_ms"), F.max(whole)["ms"].alias("hi_ms"))
+    sized = span.select("lo_ms", width(F.col("lo_ms"), F.col("hi_ms"), buckets).cast("long").alias("bucket_ms"))
+    at = F.floor((F.col("ms") - F.col("lo_ms")) / F.col("bucket_ms")).cast("long")
+    cells = _one_row(counts, sized).groupBy(at.alias("bucket"), "lo_ms", "bucket_ms").agg(*[F.coalesce(F.sum(F.when(F.col("level") == n, F.col("n"))), F.lit(0).cast("long")).alias(n) for n in names], F.sum("n").alias("total"))
+    return cells.select("bucket", (F.col("lo_ms") + F.col("bucket") * F.col("bucket_ms")).alias("start_ms"), "bucket_ms", *names, "total")
 
 
 def without_ts(lines: DataFrame) -> DataFrame:

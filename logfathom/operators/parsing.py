@@ -10,13 +10,15 @@ import json
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logfathom.functions.dialect import match_groups, rewrite
-from logfathom.functions.values import is_continuation, normalize_level, parse_timestamp, sniff_level, sniff_timestamp
+from logfathom.functions.dialect import bind, match_groups, rewrite
+from logfathom.functions.values import SNIFF_LEVEL, SNIFF_TS, is_continuation, normalize_level, timestamp_ms, ymd_ms
 
 # Keys that hold the timestamp, level and message of JSON and logfmt lines, in order.
 TS_KEYS = ["timestamp", "@timestamp", "time", "ts", "date", "datetime", "eventtime"]
@@ -48,15 +50,22 @@ class NamedPattern:
             raise ValueError(f"{self.name}: the pattern has no named group")
 
 
-def _raw_struct() -> Column:
-    c = F.col("text")
-    return F.struct(sniff_timestamp(c).alias("ts"), sniff_level(c).alias("level"), c.alias("message"), F.lit(None).cast(_FIELDS).alias("fields"), (~is_continuation(c)).alias("starts_record"))
+def _bound(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
+    """keep and new columns of df, the new ones computed once a row: no later filter or projection is merged with a
+    generator, which would repeat what they are made of."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def _with_fallback(raw: DataFrame, matched: Column, struct: Column, starts: Column) -> DataFrame:
-    """raw with the parsed columns of ``struct`` where matched, else those of the raw parser; starts decides heads."""
-    got = raw.withColumn("__p", F.when(matched, struct).otherwise(_raw_struct().withField("starts_record", starts)))
-    return got.select(*raw.columns, *[F.col(f"__p.{c}").alias(c) for c in _OUT])
+def _finished(rows: DataFrame, keep: Sequence[str], matched: Column, ts: Column, level: Column, message: Column, fields: Column, starts: Column, starts_else: Column, year: int) -> DataFrame:
+    """keep and the parsed columns: from the texts given where matched, else sniffed as parse_raw() does."""
+    text, none = F.col("text"), F.lit(None)
+    parts = _bound(
+        rows, keep, __ok=matched, __ts=F.when(matched, F.trim(ts)).otherwise(F.regexp_extract(text, SNIFF_TS, 0)), __level=F.when(matched, level).otherwise(F.regexp_extract(text, SNIFF_LEVEL, 1)),
+        message=F.when(matched, message).otherwise(text), fields=F.when(matched, fields).otherwise(none.cast(_FIELDS)), starts_record=F.when(matched, starts).otherwise(starts_else),
+    )
+    ms = F.when(F.col("__ok"), timestamp_ms(F.col("__ts"), year)).otherwise(ymd_ms(F.col("__ts")))
+    done = _bound(parts, [*keep, "message", "fields", "starts_record"], ts=F.timestamp_millis(ms), level=normalize_level(F.col("__level")))
+    return done.select(*keep, *_OUT)
 
 
 def _map(pairs: Column) -> Column:
@@ -71,16 +80,14 @@ def parse_pattern(raw: DataFrame, name: str, pattern: str, year: int = 1970) ->
     p = rewrite(pattern, sentinels=True)
     if not p.groups:
         raise ValueError(f"{name}: the pattern has no named group")
-    rows = raw.withColumn("__g", match_groups(F.col("text"), p.java, p.count))
+    rows = _bound(raw, raw.columns, __g=match_groups(F.col("text"), p.java, p.count))
     group = lambda i: F.col("__g")[i - 1]
     value = {n: F.when(group(s) != "", group(v)) if s else group(v) for n, v, s in p.groups}
     none = F.lit(None).cast("string")
     pairs = [F.struct(F.lit(n).alias("key"), value[n].alias("value")) for n, _, _ in p.groups if n not in _META or n == "message"]
-    struct = F.struct(
-        parse_timestamp(value.get("timestamp", none), year).alias("ts"), normalize_level(F.coalesce(value.get("level", none), value.get("level2", none))).alias("level"),
-        value.get("message", none).alias("message"), (_map(F.array(*pairs)) if pairs else F.lit(None).cast(_FIELDS)).alias("fields"), F.lit(True).alias("starts_record"),
-    )
-    return _with_fallback(rows, F.col("__g").isNotNull(), struct, F.lit(False)).drop("__g")
+    fields = _map(F.array(*pairs)) if pairs else none.cast(_FIELDS)
+    level = F.coalesce(value.get("level", none), value.get("level2", none))
+    return _finished(rows, raw.columns, F.col("__g").isNotNull(), value.get("timestamp", none), level, value.get("message", none), fields, F.lit(True), F.lit(False), year)
 
 
 def parse_timestamped(raw: DataFrame) -> DataFrame:
@@ -110,16 +117,16 @@ def _last_of(entries: Column, key: str) -> Column:
 def pick_key(fields: Column, keys: Sequence[str]) -> Column:
     """The value of the first key that is there by its exact name, else of the first that is there in any case."""
     exact = F.coalesce(*[fields[k] for k in keys])
-    folded = F.transform(F.map_entries(fields), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    loose = F.coalesce(*[_last_of(folded, k) for k in keys])
-    return F.coalesce(exact, loose)
+    wanted = F.filter(F.map_entries(fields), lambda e: F.lower(e["key"]).isin(list(keys)))
+    folded = F.transform(wanted, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    return F.coalesce(exact, bind(folded, lambda f: F.when(F.size(f) > 0, F.coalesce(*[_last_of(f, k) for k in keys]))))
 
 
 def _by_keys(raw: DataFrame, starts: Column, year: int) -> DataFrame:
     """Metadata of rows with a map ``__f`` (null: not parsed)."""
     f = F.col("__f")
-    struct = F.struct(parse_timestamp(pick_key(f, TS_KEYS), year).alias("ts"), normalize_level(pick_key(f, LEVEL_KEYS)).alias("level"), pick_key(f, MESSAGE_KEYS).alias("message"), f.alias("fields"), starts.alias("starts_record"))
-    return _with_fallback(raw, f.isNotNull(), struct, starts).drop("__f")
+    keep = [c for c in raw.columns if c != "__f"]
+    return _finished(raw, keep, f.isNotNull(), pick_key(f, TS_KEYS), pick_key(f, LEVEL_KEYS), pick_key(f, MESSAGE_KEYS), f, starts, starts, year)
 
 
 def _number(x: float) -> str:
@@ -177,33 +184,47 @@ def parse_json(raw: DataFrame, keys: Sequence[str] | None = None, year: int = 19
         paths = {k: "$" + "".join(f"['{p}']" for p in k.split(".")) for k in wanted}
         pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.get_json_object("text", path).alias("value")) for k, path in paths.items()])
         ok = starts & F.try_parse_json(F.col("text")).isNotNull()
-        return _by_keys(raw.withColumn("__f", F.when(ok, F.coalesce(_map(pairs), F.create_map().cast(_FIELDS)))), starts, year)
+        return _by_keys(_bound(raw, raw.columns, __f=F.when(ok, F.coalesce(_map(pairs), F.create_map().cast(_FIELDS)))), starts, year)
 
-    @F.pandas_udf("array<struct<key:string,value:string>>")
-    def flat(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda x: None if (got := flatten_json(x or "")) is None else [{"key": k, "value": v} for k, v in got])
+    @F.arrow_udf(_FIELDS)
+    def flat(lines: pa.Array) -> pa.Array:
+        ends, keys, values = [], [], []
+        for line in lines.to_pylist():
+            got = flatten_json(line or "")
+            ends.append(None if got is None else len(keys))
+            for k, v in got or ():
+                keys.append(k)
+                values.append(v)
+        offsets = pa.array([*ends, len(keys)], pa.int32())
+        return pa.MapArray.from_arrays(offsets, pa.array(keys, pa.string()), pa.array(values, pa.string()))
 
-    return _by_keys(raw.withColumn("__f", F.map_from_entries(flat("text"))), starts, year)
+    return _by_keys(raw.withColumn("__f", flat("text")), starts, year)
 
 
 def parse_logfmt(raw: DataFrame, year: int = 1970) -> DataFrame:
     """All key=value and key="quoted \\" value" pairs of a line; the last of a repeated key counts."""
-    java = rewrite(LOGFMT_PAIR).java
-    group = lambda i: F.regexp_extract_all("text", F.lit(java), F.lit(i))
-    rows = raw.withColumn("__k", group(1)).withColumn("__w", group(0)).withColumn("__q", group(2)).withColumn("__b", group(3))
-    at = F.arrays_zip(F.col("__k").alias("k"), F.col("__w").alias("w"), F.col("__q").alias("q"), F.col("__b").alias("b"))
-    quoted = lambda p: F.substr(p["w"], F.length(p["k"]) + 2, F.lit(1)) == '"'
-    whole = lambda p: quoted(p) & p["w"].endswith('"') & (p["b"] == "")
-    pairs = F.transform(at, lambda p: F.struct(p["k"].alias("key"), F.when(whole(p), F.regexp_replace(p["q"], r"\\(.)", "$1")).otherwise(p["b"]).alias("value")))
+    found = F.regexp_extract_all("text", F.lit(rewrite(LOGFMT_PAIR).java), F.lit(0))
+
+    def pair(w: Column) -> Column:
+        """Key and value of one match; a quoted value is one from its first quote to its last."""
+        key = F.substring_index(w, "=", 1)
+        value = F.substr(w, F.length(key) + 2)
+        quoted = w.endswith('"') & value.rlike(r'^"(?:[^"\\]|\\.)*"\z')
+        bare = F.substr(value, F.lit(2), F.length(value) - 2)
+        return F.struct(key.alias("key"), F.when(quoted, F.when(bare.contains("\\"), F.regexp_replace(bare, r"\\(.)", "$1")).otherwise(bare)).otherwise(value).alias("value"))
+
+    rows = _bound(raw, raw.columns, __p=F.transform(found, pair))
+    pairs, keys = F.col("__p"), F.col("__p.key")
     last = F.aggregate(pairs, F.create_map().cast(_FIELDS), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), F.map_from_arrays(F.array(p["key"]), F.array(p["value"]))))
-    rows = rows.withColumn("__f", F.when(F.size("__k") > 0, last)).drop("__k", "__w", "__q", "__b")
+    once = F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(pairs)).otherwise(last)
+    rows = _bound(rows, raw.columns, __f=F.when(F.size(pairs) > 0, once))
     return _by_keys(rows, ~is_continuation(F.col("text")), year)
 
 
 def parse_raw(raw: DataFrame) -> DataFrame:
     """Level and timestamp as far as a line shows them; the line is the message."""
-    got = raw.withColumn("__p", _raw_struct())
-    return got.select(*raw.columns, *[F.col(f"__p.{c}").alias(c) for c in _OUT])
+    no, none = F.lit(False), F.lit(None).cast("string")
+    return _finished(raw, raw.columns, no, none, none, none, F.lit(None).cast(_FIELDS), no, ~is_continuation(F.col("text")), 1970)
 
 
 def _score_columns(patterns: Sequence[NamedPattern]) -> dict[str, Column]:
@@ -263,10 +284,15 @@ def parse_logs(raw: DataFrame, format: str = "auto", patterns: Sequence[NamedPat
     return out
 
 
-def pattern_coverage(raw: DataFrame, patterns: Iterable[NamedPattern]) -> DataFrame:
-    """stream, pattern, matched, total and sample (the first line that matches): what each pattern would parse."""
+def pattern_coverage(raw: DataFrame, patterns: Iterable[NamedPattern], samples: int = 5, year: int = 1970) -> DataFrame:
+    """stream, pattern, matched, total, sample (the first line that matches) and samples: of the first ``samples`` lines that
+    match, what the pattern would take out of them (line_no, ts, level, message, fields)."""
+    patterns, total = list(patterns), F.col("total")
     each = F.array(*[F.struct(F.lit(p.name).alias("pattern"), F.col("text").rlike(rewrite(p.pattern).java).alias("hit")) for p in patterns])
     rows = raw.select("stream", "line_no", "text", F.explode(each).alias("p"))
     first = F.min(F.when(F.col("p.hit"), F.struct("line_no", "text")))
     got = rows.groupBy("stream", F.col("p.pattern").alias("pattern")).agg(F.count_if("p.hit").alias("matched"), F.count("*").alias("total"), first.alias("first"))
-    return got.select("stream", "pattern", "matched", "total", F.col("first.text").alias("sample"))
+    hits = rows.filter("p.hit").withColumn("r", F.row_number().over(Window.partitionBy("stream", F.col("p.pattern")).orderBy("line_no"))).filter(F.col("r") <= samples)
+    parsed = [parse_pattern(hits.filter(F.col("p.pattern") == p.name).select("stream", "line_no", "text"), p.name, p.pattern, year).withColumn("pattern", F.lit(p.name)) for p in patterns]
+    taken = reduce(DataFrame.unionByName, parsed).groupBy("stream", "pattern").agg(F.array_sort(F.collect_list(F.struct("line_no", "ts", "level", "message", F.map_entries("fields").alias("fields")))).alias("samples"))
+    return got.join(taken, ["stream", "pattern"], "left").select("stream", "pattern", "matched", total, F.col("first.text").alias("sample"), "samples")

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-import re
+import gzip
+import io
+import itertools
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LINE_CHARS, SHOWN_CHARS = 1 << 20, 4096
 LEVEL_TS = ["ts", "level"]
+# What rotation adds to a name, and the endings of compressed files.
+_GZIP = b"\x1f\x8b"
+_DATE, _PACKED = r"[._-]\d{4}-?\d{2}-?\d{2}", "gz|gzip|bz2|xz|zip"
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one if it is unset)."""
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one
+    in local mode; on a cluster that is an error, since executors don't see the driver's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -53,29 +62,56 @@ def _read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.select(clean_line(F.col("value")).alias("text"), F.col(f"{meta}.file_path").alias("path"), F.col(f"{meta}.file_name").alias("name"), F.col(f"{meta}.file_block_start").alias("block"), F.col(f"{meta}.file_modification_time").alias("modified"), F.monotonically_increasing_id().alias("place"))
 
 
+def _numbered(rows: DataFrame, split: Sequence[str]) -> DataFrame:
+    """stream, line_no, text of scanned lines. Places rise by one inside a split, so a line's number is its place less the
+    split's first, plus the lines of the splits before; only a row a split is shuffled, texts stay where they are read."""
+    keys = ["stream", *split]
+    ends = rows.groupBy(*keys).agg(F.min("place").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("stream").orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.withColumn("__add", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).drop("__n", "__first")
+    return rows.join(starts, keys).select("stream", (F.col("place") + F.col("__add")).alias("line_no"), "text")
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """stream, line_no, text of text files; a stream is a file. Lines end at LF alone and lose one CR; blank lines stay;
     a last line needs no LF. ``.gz`` files are decompressed by their codec, as one split each."""
-    rows = _read(spark, path)
-    numbered = with_line_numbers(rows, ["path"], ["block"], [F.col("place")])
-    return numbered.select(F.col("path").alias("stream"), "line_no", "text")
+    rows = _read(spark, path).withColumn("stream", F.col("path"))
+    return _numbered(rows, ["block"])
+
+
+def read_packed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As read_lines(), for files that are gzip by their content, whatever they are called (``.gzip``, no ending), and
+    others. Such a file can't be split, so each is one task's; it is unpacked as its lines are read."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stream, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                data = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == _GZIP else io.BytesIO(content)
+                number = 0
+                while lines := list(itertools.islice(data, 10_000)):
+                    texts = [x.removesuffix(b"\n").decode("utf-8", "replace") for x in lines]
+                    yield pa.RecordBatch.from_arrays([pa.array([stream] * len(texts)), pa.array(range(number, number + len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["stream", "line_no", "text"])
+                    number += len(texts)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(unpack, "stream string, line_no long, text string").withColumn("text", clean_line(F.col("text")))
 
 
 def rotation_base(name: Column) -> Column:
     """A file name without compression, rotation number and date."""
-    for pattern, to in ((r"(?i)\.(gz|gzip|bz2|xz|zip)\z", ""), (r"\.\d+\z", ""), (r"[._-]\d{4}-?\d{2}-?\d{2}\z", ""), (r"[._-]\d{4}-?\d{2}-?\d{2}(\.[A-Za-z][A-Za-z0-9]*)\z", "$1")):
-        name = F.regexp_replace(name, pattern, to)
-    return name
+    # Either a date before a plain extension, or a date and a number at the end, each of which may be missing.
+    found = rf"(?i)^(.+?)(?:{_DATE}(\.[a-z][a-z0-9]*))?(?:{_DATE})?(?:\.\d+)?(?:\.(?:{_PACKED}))?\z"
+    return F.regexp_replace(name, found, "$1$2")
 
 
 def read_rotation_group(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """As read_lines(), but files of one folder whose names share a rotation base are one stream, oldest first by
     modification time (then by name). A stream is named by folder and base."""
     rows = _read(spark, path).withColumn("stream", F.concat(F.regexp_extract("path", r"^(.*/)[^/]*$", 1), rotation_base(F.col("name"))))
-    return with_line_numbers(rows, ["stream"], ["modified", "name", "block"], [F.col("place")]).select("stream", "line_no", "text")
+    return _numbered(rows, ["modified", "name", "block"])
 
 
-def from_table(df: DataFrame, text_col: str, order_cols: Sequence[str], stream_cols: Sequence[str] = (), split_rows: int = 1 << 20) -> DataFrame:
+def from_table(df: DataFrame, text_col: str, order_cols: Sequence[str], stream_cols: Sequence[str] = (), split_rows: int = 1 << 14) -> DataFrame:
     """stream, line_no, text of any table's text column, numbered by order_cols within stream_cols (joined by ``/``).
 
     A first order column that is a number or a time also cuts a stream into splits, of ``split_rows`` units or an hour,

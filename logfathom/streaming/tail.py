@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -37,7 +38,8 @@ def tail(stream: DataFrame, pred: Column, format: str, patterns: Sequence[NamedP
 
 def stream_records(stream: DataFrame) -> DataFrame:
     """stream, head, span, text of each record that a micro-batch touched, as far as it has come (update mode: the last
-    row of a head is the record). Lines of a stream are to arrive in order of line_no; the state is the open record."""
+    row of a head is the record). Lines of a stream are to arrive in order of line_no; the state is the open
+    record of each stream, which only its next head closes."""
 
     def extend(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(parts)).sort_values("line_no")
@@ -47,7 +49,7 @@ def stream_records(stream: DataFrame) -> DataFrame:
             if starts or head < 0:
                 head, texts = int(number), []
             texts.append(text)
-            touched[head] = list(texts)
+            touched[head] = texts  # one list a head, which later lines go on filling
         state.update((head, json.dumps(texts)))
         yield pd.DataFrame({"stream": key[0], "head": list(touched), "span": [len(x) for x in touched.values()], "text": ["\n".join(x) for x in touched.values()]})
 
@@ -67,9 +69,10 @@ class Rule:
 
 
 def sane_rules(rules: Iterable[Rule]) -> list[Rule]:
-    """The enabled rules with a name, at most 50, thresholds from 1 to a million and windows of a second to a day."""
-    kept = [r for r in rules if r.enabled and r.name.strip()][:MOST_RULES]
-    return [Rule(r.name, r.pred, min(max(int(r.threshold), 1), MOST_THRESHOLD), min(max(int(r.window), 1), MOST_WINDOW)) for r in kept]
+    """The enabled ones of the first 50 rules, thresholds from 1 to a million and windows of a second to a day; a rule with
+    a blank name is called by its place, ``rule-0``."""
+    named = [(r, r.name if r.name.strip() else f"rule-{i}") for i, r in enumerate(list(rules)[:MOST_RULES])]
+    return [Rule(name, r.pred, min(max(int(r.threshold), 1), MOST_THRESHOLD), min(max(int(r.window), 1), MOST_WINDOW)) for r, name in named if r.enabled]
 
 
 def _matched(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -85,34 +88,49 @@ def watch_match(batch: DataFrame, rules: Iterable[Rule]) -> DataFrame:
 
 def watch_rate(stream: DataFrame, rules: Iterable[Rule], event_time: bool = True) -> DataFrame:
     """rule, at_ms, n, sample: a row when a rule's matches in its window reach the threshold; it fires again only after they
-    have been fewer. Counts come with micro-batches, dated by the last matching line's ts, or by the clock.
+    have been fewer. Counts come with micro-batches, dated by the last matching line's ts, or by the clock (without
+    event_time, and where no matching line has a ts). What is as old as the window still counts.
 
-    Lines are counted by rule before the state sees them only as (time, number); the state is one short list a rule."""
+    Each partition sums up its lines by rule, so that the state sees a row for each partition, not for each line; it is one
+    short list a rule.
+    """
     rules = sane_rules(rules)
     limits = {r.name: (r.threshold, r.window * 1000) for r in rules}
 
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list] = {}  # rule -> number, (has ts, ms, stream, line_no) of the last line, its sample
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = (row["ms"] is not None, row["ms"] or 0, row["stream"] or "", row["line_no"] or 0)
+                one = sums.setdefault(row["rule"], [0, at, row["sample"]])
+                one[0] += 1
+                if at >= one[1]:
+                    one[1:] = at, row["sample"]
+        rows = [{"rule": rule, "n": n, "ms": at[1] if at[0] else None, "sample": sample} for rule, (n, at, sample) in sums.items()]
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("rule", pa.string()), ("n", pa.int64()), ("ms", pa.int64()), ("sample", pa.string())]))
+
     def slide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, at, sample = 0, None, None
+        n, last, sample = 0, None, None
         for part in parts:
-            n += len(part)
-            last = part["ms"].max() if event_time else None
-            if event_time and (at is None or last >= at):
-                at, sample = last, part.loc[part["ms"].idxmax(), "sample"]
-            elif not event_time:
-                sample = part["sample"].iloc[-1]
-        at = int(at if event_time else state.getCurrentProcessingTimeMs())
+            for more, ms, text in zip(part["n"], part["ms"], part["sample"], strict=True):
+                n += int(more)
+                ms = None if pd.isna(ms) else int(ms)
+                if sample is None or ms is not None and (last is None or ms >= last):
+                    last, sample = ms if ms is not None else last, text
+        at = last if event_time and last is not None else state.getCurrentProcessingTimeMs()
         entries, firing = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], False)
         threshold, window = limits[key[0]]
-        before = sum(c for t, c in entries if t > at - window)
-        entries = [[t, c] for t, c in entries if t > at - window] + [[at, n]]
-        total = sum(c for _, c in entries)
-        if firing and before < threshold:
+        entries = [[t, c] for t, c in entries if t >= at - window]
+        if firing and sum(c for _, c in entries) < threshold:
             firing = False  # enough has slid out of the window before these
+        entries.append([at, n])
+        total = sum(c for _, c in entries)
         fire = total >= threshold and not firing
         state.update((json.dumps(entries), bool(total >= threshold)))
         yield pd.DataFrame({"rule": [key[0]], "at_ms": [at], "n": [total], "sample": [sample]} if fire else {"rule": [], "at_ms": [], "n": [], "sample": []})
 
-    return _matched(stream, rules).groupBy("rule").applyInPandasWithState(slide, "rule string, at_ms long, n long, sample string", "entries string, firing boolean", "update", GroupStateTimeout.NoTimeout)
+    summed = _matched(stream, rules).mapInArrow(sum_up, "rule string, n long, ms long, sample string")
+    return summed.groupBy("rule").applyInPandasWithState(slide, "rule string, at_ms long, n long, sample string", "entries string, firing boolean", "update", GroupStateTimeout.NoTimeout)
 
 
 def live_histogram(stream: DataFrame, width: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:

@@ -296,7 +296,7 @@ def test_watch_rate(spark, tmp_path):
     stream = spark.readStream.schema("stream string, line_no long, ts timestamp, level string, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     fired = W.run_available(W.watch_rate(stream, [W.Rule("r", P.level_cmp("eq", "ERROR"), 3, 60)]), "update").collect()
     assert [(r["rule"], r["n"]) for r in fired] == [("r", 3)]
-    assert [(r.threshold, r.window) for r in W.sane_rules([W.Rule("a", P.match_all(), 0, 10**9), W.Rule("", P.match_all()), W.Rule("b", P.match_all(), enabled=False)])] == [(1, 86400)]
+    assert [(r.name, r.threshold, r.window) for r in W.sane_rules([W.Rule("a", P.match_all(), 0, 10**9), W.Rule("", P.match_all()), W.Rule("b", P.match_all(), enabled=False)])] == [("a", 1, 86400), ("rule-1", 1, 60)]
 
 
 def test_spikes_and_gaps(spark):
@@ -310,3 +310,73 @@ def test_triage(spark):
     rows = [f'{{"level":"{"ERROR" if i % 5 == 0 else "INFO"}","duration_ms":{i}}}' for i in range(1000)]
     got = D.triage(lines_of(spark, rows, X.parse_json))
     assert one(got["summary"])["errors"] == 200 and one(got["slowest"])["n"] == 1000
+
+
+def test_watch_rate_without_ts(spark, tmp_path):
+    """A matching line without ts is counted at the time of the batch; what is as old as the window still counts; a rule
+    with a blank name has its place for a name."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    schema = "stream string, line_no long, text string, ts timestamp, level string"
+    rules = lambda: [W.Rule("off", P.match_all(), enabled=False), W.Rule(" ", P.line_regex("boom"), 3, 60), W.Rule("late", P.line_regex("tick"), 2, 60)]
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    spark.createDataFrame([("a", i, "boom", None, None) for i in range(3)] + [("a", 9, "tick", at(0), None), ("a", 10, "tick later", at(60), None), ("a", 11, "tick", None, None)], schema).write.mode("append").parquet(str(folder))
+    got = {r.rule: r for r in W.run_available(W.watch_rate(spark.readStream.schema(schema).parquet(str(folder)), rules()), "update").collect()}
+    assert set(got) == {"rule-1", "late"} and got["rule-1"].n == 3 and got["rule-1"].at_ms > 1_700_000_000_000
+    assert got["late"].n == 3 and got["late"].sample == "tick later"
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    live = tmp_path / "live"
+    for second in (0, 60, 121, 200, 201):  # one after another: the second is just in the window of the first, the third not
+        spark.createDataFrame([("a", second, "tick", at(second), None)], schema).coalesce(1).write.mode("append").parquet(str(live))
+        query = W.watch_rate(spark.readStream.schema(schema).parquet(str(live)), rules()).writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(out)).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+    fired = sorted((r.at_ms - 1704067200000, r.n) for r in spark.read.parquet(out).collect())
+    assert fired == [(60_000, 2), (201_000, 2)]
+
+
+def test_js_numbers(spark):
+    items = ["5", "+5", "-5", ".5", "5.", "1e3", " 7 ", "0x1F", "0b101", "0o17", "", "5d", "Infinity", "NaN", "1e999", "--5", "0x", None]
+    got = values(spark, P.js_number, items)
+    assert got == [5.0, 5.0, -5.0, 0.5, 5.0, 1000.0, 7.0, 31.0, 5.0, 15.0, 0.0, None, None, None, None, None, None, None]
+    lines = lines_of(spark, ["v=ÄB x", "v=äb y", "v=+7 z"], X.parse_raw)
+    cap = P.Capture("v", r"v=(\S+)")
+    assert lines.filter(P.capture_eq(cap, "äB")).count() == 2 and lines.filter(P.capture_cmp(cap, "gte", 7)).count() == 1
+
+
+def test_lines_are_parsed_once(spark):
+    """However the parsed columns are used, a format's pattern stands in the plan once."""
+    df = X.parse_timestamped(raw(spark, app_log(10)))
+    for used in (df, df.filter("ts is not null and level = 'INFO'").select("ts", "level"), A.time_histogram(df)):
+        plan = used._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace") <= 10 * (2 if "bucket_ms" in used.columns else 1)
+    text = redact(F.col("text"))
+    plan = raw(spark, ["x"]).select(text.alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 10
+
+
+def test_packed_files(spark, tmp_path):
+    with gzip.open(tmp_path / "a.log.gzip", "wb") as f:
+        f.write(b"one\r\n\ntwo")
+    with gzip.open(tmp_path / "b.log", "wb") as f:
+        f.write(b"x\n")
+    (tmp_path / "c.log").write_bytes(b"plain\xff\n")
+    (tmp_path / "d.log").write_bytes(b"")
+    got = sorted((r.stream.rsplit("/", 1)[1], r.line_no, r.text) for r in S.read_packed_lines(spark, str(tmp_path)).collect())
+    assert got == [("a.log.gzip", 0, "one"), ("a.log.gzip", 1, ""), ("a.log.gzip", 2, "two"), ("b.log", 0, "x"), ("c.log", 0, "plain�")]
+
+
+def test_rotation_names(spark):
+    names = {"app.log": "app.log", "app.log.2.gz": "app.log", "app.log.1": "app.log", "app-2024-01-31.log": "app.log", "app.log-20240131": "app.log", "app.2024-01-31.log.3.bz2": "app.log", "x.GZIP": "x", "a.b": "a.b"}
+    assert values(spark, S.rotation_base, list(names)) == list(names.values())
+
+
+def test_records_over_batches(spark, tmp_path):
+    """Long records that go on in the next batch."""
+    schema, folder = "stream string, line_no long, text string", str(tmp_path / "in")
+    lines = [("a", i, ("  at x" if i % 400 else "head")) for i in range(1200)]
+    for a, b in ((0, 407), (407, 1200)):
+        spark.createDataFrame(lines[a:b], schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)
+    got = W.run_available(W.stream_records(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)), "update")
+    last = {r.head: r.span for r in got.groupBy("head").agg(F.max_by("span", "batch").alias("span")).collect()}
+    assert last == {0: 400, 400: 400, 800: 400}
