@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+_PARTS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +35,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_least(rows: DataFrame, key: str, by: str, value: str, name: str) -> DataFrame:
+    """rows with ``name``, the smallest ``value`` of all rows of their key. A key's rows are dealt over parts by ``by``: one
+    task sees a part's rows or the (at most 256) least values of a key's parts, never all rows of a hot key. The key and
+    ``by`` must not be null."""
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(_PARTS)))
+    parts = dealt.groupBy(key, "__part").agg(F.min(value).alias(name))
+    least = parts.withColumn(name, F.min(name).over(Window.partitionBy(key)))
+    return dealt.join(least, [key, "__part"]).drop("__part")

@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfathom.llm._shared import stage
+from logfathom.llm._shared import stage, with_least
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, root) for every node of edges (u, v: long); root is the component's smallest node.
 
-    Each half round is a minimum by node and a join with it, never a gathered neighbourhood, so that a node with very
-    many links costs a partial aggregate and a join that Spark may split. Every half round is written to the shared
-    folder. Loops and repeated links are fine; without links there are no rows.
+    Each half round is a minimum by node and a join with it, never a gathered neighbourhood; both deal the links of a node
+    over parts, so that a node with very many of them is not one task's. Every half round is written to the shared folder.
+    Loops and repeated links are fine; without links there are no rows.
     """
     now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "links")
     mark = None
     for _ in range(most_rounds):
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = with_least(now.union(now.select("v", "u")), "u", "v", "v", "m").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         now = stage(large.filter("u > v").distinct(), "large")
-        least = now.groupBy("u").agg(F.min("v").alias("m"))
-        small = now.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = with_least(now, "u", "v", "v", "m").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = stage(small.filter("u > v").distinct(), "small")
         was, mark = mark, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == was or mark[0] == 0:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logfathom.llm._shared import stage
+from logfathom.llm._shared import stage, with_least
 from logfathom.llm._words import mix, slices, text_bytes, window_hashes, word_hashes, word_spans
 from logfathom.llm.components import components
 
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     nodes = signed.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("band"))
-    sizes = spread.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = stage(spread.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")  # as a table, so that Spark may split the join
     members = stage(spread.join(sizes, "band"), "members")
 
     wanted = members.select("node").distinct().join(nodes.select("node", "text_key"), "node")
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     # Buckets that still hold several components. Their nodes fall into clusters (linked through bucket leaders); in each
     # cluster the nodes outside a leader's component are compared with all nodes, blocks of them with blocks.
     placed = members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
+    mixed = stage(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band"), "mixed-buckets")
     leader_of = leaders.join(roots, leaders.u == roots.node, "left").select("band", "u", F.coalesce("root", "u").alias("leader_root"))
     placed = stage(placed.join(mixed, "band").join(leader_of, "band"), "mixed")
     if not placed.isEmpty():
@@ -247,8 +247,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
             roots = stage(components(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)), "components")
 
     named = nodes.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("root"), F.struct(F.col("least").isNull(), "least", "text_key").alias("name"))
-    classes = named.groupBy("root").agg(F.min("name").alias("name")).select("root", F.col("name.least").alias("class_id"), F.col("name.text_key").alias("class_key"))
-    of_text = named.select("text_key", "root").join(classes, "root").select("text_key", "class_id", "class_key")
+    of_text = with_least(named, "root", "text_key", "name", "top").select("text_key", F.col("top.least").alias("class_id"), F.col("top.text_key").alias("class_key"))
     out = keyed.select("doc_id", "text_key").join(of_text, "text_key", "left")
     return out.select("doc_id", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "text_key", "class_key")
 
