@@ -15,6 +15,12 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A-Z in lower case, and what lies between terms: ASCII other than digits and letters.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
+_GAP = np.zeros(256, bool)
+_GAP[:0x80] = True
+_GAP[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = False
 _LONG = 128  # bytes of a word from which BLAKE2b hashes it
 _KEYS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _RIGHT = np.uint64(0xA0761D6478BD642F)
@@ -57,12 +63,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterato
         at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end bytes of all words, and for each text the index of its first word (one more than texts)."""
     if len(data) == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    ink = ~_SPACE[data]
+    ink = ~between[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     before = np.empty_like(ink)
@@ -74,6 +80,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all terms (maximal runs of ASCII digits and letters, A-Z in lower case, and of anything beyond ASCII), and
+    for each text the index of its first term. No hash is 0."""
+    data = _FOLD[data]
+    starts, ends, first = word_spans(data, offsets, _GAP)
+    return np.maximum(word_hashes(data, starts, ends), np.uint64(1)), first
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
     """A 64-bit hash for each word, keyed by the lane."""
     key = np.uint64(_KEYS[lane])
