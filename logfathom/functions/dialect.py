@@ -1,7 +1,7 @@
 """User regular expressions: from the JavaScript dialect to Java's, and captures by group number.
 
-Java's group names refuse ``_``, its ``\\b`` and ``$`` see other boundaries, its ``\\s`` lacks the no-break spaces and its
-``(?i)`` folds ASCII alone. A pattern is rewritten once, on the driver; executors run plain Java patterns.
+Java's group names refuse ``_``, its ``\\b`` and ``$`` see other boundaries, its ``\\s`` lacks the no-break spaces, its ``.``
+refuses U+0085 and its ``(?i)`` folds ASCII alone. A pattern is rewritten once, on the driver; executors run plain Java patterns.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 _SPACES = r"\s\x0B   -     　﻿"
 _WORD = "A-Za-z0-9_"
+_ANY = r"[^\n\r\u2028\u2029]"
 _EDGE = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
 _NO_EDGE = rf"(?:(?<=[{_WORD}])(?=[{_WORD}])|(?<![{_WORD}])(?![{_WORD}]))"
-#: Between the groups of one match; a control character that texts are cleared of first.
+#: Between the groups of one match. Texts that have it are matched group by group.
 MARK = "\u0001"
 
 
@@ -80,6 +81,8 @@ def rewrite(source: str, ignore_case: bool = False, sentinels: bool = False) ->
             out.append(c)
         elif c == "$":
             out.append(r"\z")
+        elif c == ".":
+            out.append(_ANY)
         elif c == "|":
             top = stack[-1] if stack else root
             top.maybe = True
@@ -166,6 +169,7 @@ def match_groups(text: Column, java: str, count: int) -> Column:
     flags = re.match(r"\(\?[a-z]+\)", java)
     head = flags[0] if flags else ""
     whole = rf"{head}^[\s\S]*?(?:{java[len(head):]})[\s\S]*\z"
-    clean = F.translate(text, MARK, "")
-    marked = F.regexp_replace(clean, F.lit(whole), F.lit(MARK + MARK.join(f"${i}" for i in range(1, count + 1)) + MARK))
-    return bind(marked, lambda m: F.when(m.startswith(MARK), F.slice(F.split(m, MARK), 2, count)))
+    marked = F.regexp_replace(text, F.lit(whole), F.lit(MARK + MARK.join(f"${i}" for i in range(1, count + 1)) + MARK))
+    at_once = bind(marked, lambda m: F.when(m.startswith(MARK), F.slice(F.split(m, MARK), 2, count)))
+    each = F.when(text.rlike(java), F.array(*[F.regexp_extract(text, java, i) for i in range(1, count + 1)]))
+    return F.when(text.contains(MARK), each).otherwise(at_once)

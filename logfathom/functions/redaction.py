@@ -23,7 +23,7 @@ CATEGORIES = ["secret", "jwt", "email", "ipv4", "ipv6", "card", "token"]
 
 # What a text must have for a category's pattern to be tried at all: each pattern's matches have it too.
 _NEEDS = {
-    "secret": r"[:=]", "bearer": r"(?i)bearer\s", "jwt": r"eyJ", "email": r"@", "ipv4": r"[0-9]\.[0-9]", "ipv6": r"[0-9a-fA-F:]:",
+    "secret": r"[:=]", "bearer": rewrite(r"bearer\s", ignore_case=True).java, "jwt": r"eyJ", "email": r"@", "ipv4": r"[0-9]\.[0-9]", "ipv6": r"[0-9a-fA-F:]:",
     "card": r"[0-9](?:[ -]?[0-9]){12}", "token": r"[A-Za-z0-9+/_=-]{20}",
 }
 

@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logfathom.functions.dialect import bind, match_groups
+from logfathom.functions.dialect import bind, match_groups, rewrite
 
 # The spellings of each level.
 LEVELS = {
@@ -24,11 +24,14 @@ YMD = r"^(\d{4})[-/](\d{2})[-/](\d{2})[T ](\d{2}):(\d{2}):(\d{2})(?:[.,](\d{1,9}
 CLF = r"^(\d{2})/([A-Za-z]{3})/(\d{4}):(\d{2}):(\d{2}):(\d{2})\s*([+-]\d{4})?\z"
 SYSLOG = r"^([A-Za-z]{3})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})\z"
 SNIFF_TS = r"\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?(?:Z|[+-]\d{2}:?\d{2})?"
-SNIFF_LEVEL = r"(?i)(?<![A-Za-z0-9_])(TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|ERR|FATAL|CRITICAL|SEVERE|NOTICE)(?![A-Za-z0-9_])"
+SNIFF_LEVEL = r"\b(TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|ERR|FATAL|CRITICAL|SEVERE|NOTICE)\b"
 NUMBER = r"^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?\z"
-CONTINUATION = r"^(?:\z|[\s   -     　﻿]|Caused by:|\.{3}\s*\d+\s+more(?![A-Za-z0-9_])|at\s)"
+CONTINUATION = r"^(Caused by:|\.{3}\s*\d+\s+more\b|at\s)"
 GENERIC_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm[X]", "yyyy-MM-dd HH:mm", "MMM d HH:mm:ss yyyy", "d MMM yyyy HH:mm:ss[ z]", "MMM d, yyyy HH:mm:ss"]
 TEMPLATE_CHARS, TEMPLATE_TOKENS, PLACEHOLDER = 4096, 80, "<*>"
+LEVEL_WORD = "(?i)" + rewrite(SNIFF_LEVEL).java
+#: Blank, indented, or one of the above.
+_CONTINUES = rewrite(rf"^$|^\s|{CONTINUATION}").java
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,7 +54,7 @@ def to_num(c: Column) -> Column:
 
 def is_continuation(c: Column) -> Column:
     """Blank, indented, or a line of a JVM trace."""
-    return c.rlike(CONTINUATION)
+    return c.rlike(_CONTINUES)
 
 
 def _int(c: Column) -> Column:
@@ -105,7 +108,7 @@ def timestamp_ms(s: Column, year: int | Column = 1970) -> Column:
 
 def sniff_level(c: Column) -> Column:
     """The level of the first level word of a line, else null."""
-    return normalize_level(F.regexp_extract(c, SNIFF_LEVEL, 1))
+    return normalize_level(F.regexp_extract(c, LEVEL_WORD, 1))
 
 
 def sniff_timestamp(c: Column) -> Column:

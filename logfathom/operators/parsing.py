@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfathom.functions.dialect import bind, match_groups, rewrite
-from logfathom.functions.values import SNIFF_LEVEL, SNIFF_TS, is_continuation, normalize_level, timestamp_ms, ymd_ms
+from logfathom.functions.values import LEVEL_WORD, SNIFF_TS, is_continuation, normalize_level, timestamp_ms, ymd_ms
 
 # Keys that hold the timestamp, level and message of JSON and logfmt lines, in order.
 TS_KEYS = ["timestamp", "@timestamp", "time", "ts", "date", "datetime", "eventtime"]
@@ -60,7 +60,7 @@ def _finished(rows: DataFrame, keep: Sequence[str], matched: Column, ts: Column,
     """keep and the parsed columns: from the texts given where matched, else sniffed as parse_raw() does."""
     text, none = F.col("text"), F.lit(None)
     parts = _bound(
-        rows, keep, __ok=matched, __ts=F.when(matched, F.trim(ts)).otherwise(F.regexp_extract(text, SNIFF_TS, 0)), __level=F.when(matched, level).otherwise(F.regexp_extract(text, SNIFF_LEVEL, 1)),
+        rows, keep, __ok=matched, __ts=F.when(matched, F.trim(ts)).otherwise(F.regexp_extract(text, SNIFF_TS, 0)), __level=F.when(matched, level).otherwise(F.regexp_extract(text, LEVEL_WORD, 1)),
         message=F.when(matched, message).otherwise(text), fields=F.when(matched, fields).otherwise(none.cast(_FIELDS)), starts_record=F.when(matched, starts).otherwise(starts_else),
     )
     ms = F.when(F.col("__ok"), timestamp_ms(F.col("__ts"), year)).otherwise(ymd_ms(F.col("__ts")))

@@ -152,16 +152,17 @@ def write_json(spark, sf):
     return spark.read.schema("line long, timestamp string, level string, content string").json(path)
 
 
-@query("s09_ingest_incremental", f"WITH {EVENTS} SELECT count(*) AS n, count(*) FILTER (WHERE event = 'error') AS errors, CAST(2 AS BIGINT) AS rounds FROM e")
+@query("s09_ingest_incremental", f"WITH {EVENTS} SELECT text, CASE WHEN stream IN ('s0', 's1') THEN 1 ELSE 2 END AS round FROM e")
 def ingest(spark, sf):
+    """Two rounds: the lines of the first come from the generation that the first call parsed."""
     logs, store = S.scratch(spark, "incoming"), S.scratch(spark, "store")
     text = L.typed_lines(spark, sf).select("stream", "text")
-    rounds = 0
     for part in (["s0", "s1"], ["s2", "s3"]):
         text.filter(F.col("stream").isin(part)).select("text").write.mode("append").text(logs)
         got = S.ingest_incremental(spark, f"{logs}/part-*", store, X.parse_raw, "raw")
-        rounds += 1
-    return got.agg(F.count("*").alias("n"), F.count_if(F.col("text").startswith("error")).alias("errors"), F.lit(rounds).cast("long").alias("rounds"))
+        if part[0] == "s0":
+            first = got.select("generation").first()[0]
+    return got.select("text", F.when(F.col("generation") == first, 1).otherwise(2).alias("round"))
 
 
 # ---------------------------------------------------------------- parsing
@@ -669,10 +670,16 @@ def watch_match(spark, sf):
     return got.groupBy("rule").agg(F.sum("n").alias("n"))
 
 
-@query("x05_watch_rate", f"WITH {EVENTS} SELECT 'errors' AS rule, max(ms) AS at_ms, count(*) AS n FROM e WHERE level = 'ERROR' UNION ALL SELECT 'sevens', max(ms), count(*) FROM e WHERE k = 7 HAVING count(*) >= 3")
+def _rate_sql(rule: str, pred: str, threshold: int, ms: int) -> str:
+    """The times at which the matches of the last ms reach the threshold, having been fewer just before."""
+    sums = f"SELECT ms, sum(c) OVER (ORDER BY ms RANGE BETWEEN {ms} PRECEDING AND CURRENT ROW) AS n, c FROM (SELECT ms, count(*) AS c FROM e WHERE {pred} GROUP BY ms)"
+    return f"SELECT '{rule}' AS rule, ms AS at_ms, CAST(n AS BIGINT) AS n FROM ({sums}) WHERE n >= {threshold} AND n - c < {threshold}"
+
+
+@query("x05_watch_rate", f"WITH {EVENTS} {_rate_sql('errors', "level = 'ERROR'", 4, 7_200_000)} UNION ALL {_rate_sql('sevens', 'k = 7', 3, 86_400_000)}")
 def watch_rate(spark, sf):
-    """All there is comes in one micro-batch, so each rule fires once, over everything."""
-    return W.run_available(W.watch_rate(_tailed(spark, sf), _RULES()), "update").select("rule", "at_ms", "n")
+    rules = [W.Rule("errors", P.level_cmp("eq", "ERROR"), 4, 7200), W.Rule("off", P.match_all(), enabled=False), W.Rule("sevens", P.line_regex(r"k=7\b"), 3, 86400)]
+    return W.run_available(W.watch_rate(_tailed(spark, sf), rules), "update").select("rule", "at_ms", "n")
 
 
 @query("x06_live_histogram", f"WITH {EVENTS} SELECT ms // 3600000 * 3600000 AS start_ms, level, count(*) AS n FROM e GROUP BY ALL")

@@ -157,27 +157,73 @@ def write_json(lines: DataFrame, path: str, redactor=None) -> None:
     export_rows(lines, redactor).write.json(path, ignoreNullFields=False)
 
 
-def ingest_incremental(spark: SparkSession, paths: str | list[str], table: str, parse, parser_set: str = "") -> DataFrame:
-    """Parse only files whose fingerprint (path, size, modification time, parser set) is not in the table's manifest.
+def _versions(spark: SparkSession, table: str) -> tuple[int, int | None]:
+    """The highest version of a table's manifest, begun or whole, and the highest that is whole (Spark marks it last)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/manifest")
+    where = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not where.exists(path):
+        return 0, None
+    found = {int(x.getPath().getName()[1:]): x.getPath() for x in where.listStatus(path) if x.getPath().getName().startswith("v")}
+    whole = [v for v, at in found.items() if where.exists(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"))]
+    return max(found, default=0), max(whole, default=None)
+
+
+def _manifest_at(table: str, version: int) -> str:
+    return f"{table}/manifest/v{version:010d}"
+
+
+def snapshot(spark: SparkSession, table: str, schema: T.StructType | None = None) -> DataFrame:
+    """The lines of the last whole version of a table that ingest_incremental() keeps, each with the generation that its
+    file was parsed in. Streams and generations are folders, so those that the manifest does not name are not read."""
+    _, version = _versions(spark, table)
+    if version is None:
+        raise ValueError(f"no whole version of {table}")
+    live = spark.read.parquet(_manifest_at(table, version)).select("stream", "generation")
+    reader = spark.read.option("mergeSchema", False)
+    if schema is not None:
+        names = [f for f in schema.fields if f.name not in ("stream", "generation")]
+        reader = reader.schema(T.StructType([*names, T.StructField("generation", T.StringType()), T.StructField("stream", T.StringType())]))
+    return reader.parquet(f"{table}/lines").join(live, ["stream", "generation"])
+
 
-    ``table`` is a folder: lines as Parquet by stream, and a manifest. ``parse(raw)`` turns stream, line_no, text into
-    the rows to keep. Streams of changed files are replaced, others are not read. Returns the whole table.
+def ingest_incremental(spark: SparkSession, paths: str | list[str], table: str, parse, parser_set: str = "") -> DataFrame:
+    """Bring a table up to date with the files that ``paths`` name now, parsing only those whose fingerprint (path, size,
+    modification time, parser set) its manifest lacks. ``parse(raw)`` turns stream, line_no, text into the rows to keep.
+    Returns the whole table, see snapshot().
+
+    ``table`` is a folder. Lines are Parquet by generation (one for each call) and stream; a version of the manifest says
+    which generation each file's lines are of. A call first writes its generation, then the next version; until that is
+    whole, readers see the one before, and a call that was broken off leaves only files that no manifest names. Files that
+    are gone, renamed or empty now leave no lines. Two calls at once can't write the same version: one of them fails.
     """
-    listing = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(parser_set).alias("parsers"))
-    lines_at, manifest_at = f"{table}/lines", f"{table}/manifest"
-    known = None
-    try:
-        known = spark.read.parquet(manifest_at)
-    except Exception as e:  # the first call: there is no manifest yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    fresh = listing if known is None else listing.join(known, ["file", "size", "modified", "parsers"], "left_anti")
-    files = [r["file"] for r in fresh.select("file").collect()]  # names of changed files, which are to be read now
-    if files:
-        parsed = parse(read_lines(spark, files))
-        parsed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream").parquet(lines_at)
-        kept = fresh if known is None else known.join(fresh.select("file"), "file", "left_anti").unionByName(fresh)
-        next_at = f"{table}/manifest-next-{uuid.uuid4().hex}"
-        kept.write.parquet(next_at)
-        spark.read.parquet(next_at).write.mode("overwrite").parquet(manifest_at)
-    return spark.read.parquet(lines_at)
+    listing = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.col("_metadata.file_path").alias("stream"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(parser_set).alias("parsers"))
+    begun, whole = _versions(spark, table)
+    keys = ["file", "size", "modified", "parsers"]
+    known = None if whole is None else spark.read.parquet(_manifest_at(table, whole))
+    fresh = listing if known is None else listing.join(known, keys, "left_anti")
+    files = fresh.collect()  # a row for each changed file, which is to be read now: as it was before it is read
+    raw = read_lines(spark, [r["file"] for r in files]) if files else spark.createDataFrame([], "stream string, line_no long, text string")
+    parsed = parse(raw)
+    kept = None if known is None else known.join(listing, keys, "left_semi")
+    gone = known is not None and kept.count() < known.count()
+    if files or gone or known is None:
+        generation = f"g{uuid.uuid4().hex}"
+        parsed.withColumn("generation", F.lit(generation)).write.mode("append").partitionBy("generation", "stream").parquet(f"{table}/lines")
+        read = spark.createDataFrame(files, fresh.schema).withColumn("generation", F.lit(generation))
+        (read if kept is None else kept.unionByName(read)).coalesce(1).write.parquet(_manifest_at(table, begun + 1))
+    return snapshot(spark, table, parsed.schema)
+
+
+def vacuum(spark: SparkSession, table: str) -> int:
+    """Remove what no reader of the last whole version needs: older versions, and generations that it does not name. Gives
+    the number of folders removed. Not to be run beside ingest_incremental() on the same table."""
+    _, version = _versions(spark, table)
+    if version is None:
+        return 0
+    live = {r["generation"] for r in spark.read.parquet(_manifest_at(table, version)).select("generation").distinct().collect()}
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    where, removed = path.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    names = [f"manifest/v{v:010d}" for v in range(1, version)] + [f"lines/{x.getPath().getName()}" for x in where.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/lines")) if x.isDirectory() and x.getPath().getName().removeprefix("generation=") not in live]
+    for name in names:
+        removed += bool(where.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{name}"), True))
+    return removed

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -59,78 +60,119 @@ def stream_records(stream: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """An alert: lines that match; for a rate, ``threshold`` of them in ``window`` seconds."""
+    """An alert: lines that match; for a rate, ``threshold`` of them in ``window`` seconds. Rules are told apart by their
+    place, not by their names; sane_rules() fills it in."""
 
     name: str
     pred: Column
     threshold: int = 1
     window: int = 60
     enabled: bool = True
+    place: int = 0
 
 
 def sane_rules(rules: Iterable[Rule]) -> list[Rule]:
     """The enabled ones of the first 50 rules, thresholds from 1 to a million and windows of a second to a day; a rule with
     a blank name is called by its place, ``rule-0``."""
-    named = [(r, r.name if r.name.strip() else f"rule-{i}") for i, r in enumerate(list(rules)[:MOST_RULES])]
-    return [Rule(name, r.pred, min(max(int(r.threshold), 1), MOST_THRESHOLD), min(max(int(r.window), 1), MOST_WINDOW)) for r, name in named if r.enabled]
+    named = [(i, r, r.name if r.name.strip() else f"rule-{i}") for i, r in enumerate(list(rules)[:MOST_RULES])]
+    return [Rule(name, r.pred, min(max(int(r.threshold), 1), MOST_THRESHOLD), min(max(int(r.window), 1), MOST_WINDOW), True, i) for i, r, name in named if r.enabled]
 
 
 def _matched(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """A row for each line and rule that it matches: rule, ms, line_no, sample."""
-    names = F.array_compact(F.array(*[F.when(F.coalesce(r.pred, F.lit(False)), F.lit(r.name)) for r in rules]))
-    return lines.select(F.explode(names).alias("rule"), F.unix_millis("ts").alias("ms"), "stream", "line_no", F.substring("text", 1, SAMPLE_CHARS).alias("sample"))
+    """A row for each line and rule that it matches: rule_id, ms, stream, line_no, sample."""
+    places = F.array_compact(F.array(*[F.when(F.coalesce(r.pred, F.lit(False)), F.lit(r.place)) for r in rules])) if rules else F.array().cast("array<int>")
+    return lines.select(F.explode(places).alias("rule_id"), F.unix_millis("ts").alias("ms"), "stream", "line_no", F.substring("text", 1, SAMPLE_CHARS).alias("sample"))
+
+
+def _named(rules: Sequence[Rule]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.place, r.name)]), F.col("rule_id")) if rules else F.lit(None).cast("string")
 
 
 def watch_match(batch: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """rule, n, sample (of the last line) for each rule with a match in a micro-batch; for foreachBatch()."""
-    return _matched(batch, sane_rules(rules)).groupBy("rule").agg(F.count("*").alias("n"), F.max_by("sample", F.struct("ms", "stream", "line_no")).alias("sample"))
+    """rule, rule_id (its place), n, sample (of the last line) for each rule with a match in a micro-batch; for
+    foreachBatch()."""
+    rules = sane_rules(rules)
+    found = _matched(batch, rules).groupBy("rule_id").agg(F.count("*").alias("n"), F.max_by("sample", F.struct("ms", "stream", "line_no")).alias("sample"))
+    return found.select(_named(rules).alias("rule"), "rule_id", "n", "sample")
+
+
+class Rate:
+    """The matches of one rule in its window: counts by time, of the latest ``threshold`` matches at most, since older ones
+    leave the window first."""
+
+    def __init__(self, threshold: int, window_ms: int, state: str | None = None):
+        self.threshold, self.window = threshold, window_ms
+        got = json.loads(state) if state else {"times": [], "counts": [], "firing": False, "clock": None}
+        self.times, self.counts, self.firing, self.clock = deque(got["times"]), deque(got["counts"]), got["firing"], got["clock"]
+        self.total = sum(self.counts)
+
+    def dump(self) -> str:
+        return json.dumps({"times": list(self.times), "counts": list(self.counts), "firing": self.firing, "clock": self.clock})
+
+    def add(self, at: int, n: int) -> int | None:
+        """Count n matches at a time; the window's sum if the rule fires with them. The window ends at the latest time so
+        far, and what is as old as the window still counts; later arrivals count by their own time."""
+        self.clock = at if self.clock is None else max(self.clock, at)
+        while self.times and self.times[0] < self.clock - self.window:
+            self.times.popleft()
+            self.total -= self.counts.popleft()
+        if self.total < self.threshold:
+            self.firing = False  # enough has slid out of the window before these
+        if at >= self.clock - self.window:
+            place = len(self.times)
+            while place and self.times[place - 1] > at:
+                place -= 1
+            self.times.insert(place, at)
+            self.counts.insert(place, n)
+            self.total += n
+        fires = self.total >= self.threshold and not self.firing
+        self.firing = self.total >= self.threshold
+        total = self.total
+        while self.counts and self.total - self.counts[0] >= self.threshold:
+            self.times.popleft()
+            self.total -= self.counts.popleft()
+        return total if fires else None
 
 
 def watch_rate(stream: DataFrame, rules: Iterable[Rule], event_time: bool = True) -> DataFrame:
-    """rule, at_ms, n, sample: a row when a rule's matches in its window reach the threshold; it fires again only after they
-    have been fewer. Counts come with micro-batches, dated by the last matching line's ts, or by the clock (without
-    event_time, and where no matching line has a ts). What is as old as the window still counts.
+    """rule, rule_id, at_ms, n, sample: a row whenever a rule's matches in its window reach the threshold; it fires again
+    only after they have been fewer.
 
-    Each partition sums up its lines by rule, so that the state sees a row for each partition, not for each line; it is one
-    short list a rule.
+    Matches are dated by their lines' ts and taken in that order, whatever micro-batch they come in; a line without one, or
+    each line without event_time, by the latest ts so far or else by the clock. Each partition counts its matches by rule and
+    time first; the state of a rule is at most ``threshold`` counts.
     """
     rules = sane_rules(rules)
-    limits = {r.name: (r.threshold, r.window * 1000) for r in rules}
+    limits = {r.place: (r.threshold, r.window * 1000) for r in rules}
+    counted = pa.schema([("rule_id", pa.int32()), ("ms", pa.int64()), ("n", pa.int64()), ("sample", pa.string())])
 
-    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list] = {}  # rule -> number, (has ts, ms, stream, line_no) of the last line, its sample
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int | None], list] = {}  # (rule, ms) -> number, (stream, line_no) of the last line, its sample
         for batch in batches:
             for row in batch.to_pylist():
-                at = (row["ms"] is not None, row["ms"] or 0, row["stream"] or "", row["line_no"] or 0)
-                one = sums.setdefault(row["rule"], [0, at, row["sample"]])
+                at = (row["stream"] or "", row["line_no"] or 0)
+                one = sums.setdefault((row["rule_id"], row["ms"] if event_time else None), [0, at, row["sample"]])
                 one[0] += 1
                 if at >= one[1]:
                     one[1:] = at, row["sample"]
-        rows = [{"rule": rule, "n": n, "ms": at[1] if at[0] else None, "sample": sample} for rule, (n, at, sample) in sums.items()]
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("rule", pa.string()), ("n", pa.int64()), ("ms", pa.int64()), ("sample", pa.string())]))
+        yield pa.RecordBatch.from_pylist([{"rule_id": rule, "ms": ms, "n": n, "sample": sample} for (rule, ms), (n, _, sample) in sums.items()], schema=counted)
 
     def slide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last, sample = 0, None, None
-        for part in parts:
-            for more, ms, text in zip(part["n"], part["ms"], part["sample"], strict=True):
-                n += int(more)
-                ms = None if pd.isna(ms) else int(ms)
-                if sample is None or ms is not None and (last is None or ms >= last):
-                    last, sample = ms if ms is not None else last, text
-        at = last if event_time and last is not None else state.getCurrentProcessingTimeMs()
-        entries, firing = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], False)
-        threshold, window = limits[key[0]]
-        entries = [[t, c] for t, c in entries if t >= at - window]
-        if firing and sum(c for _, c in entries) < threshold:
-            firing = False  # enough has slid out of the window before these
-        entries.append([at, n])
-        total = sum(c for _, c in entries)
-        fire = total >= threshold and not firing
-        state.update((json.dumps(entries), bool(total >= threshold)))
-        yield pd.DataFrame({"rule": [key[0]], "at_ms": [at], "n": [total], "sample": [sample]} if fire else {"rule": [], "at_ms": [], "n": [], "sample": []})
-
-    summed = _matched(stream, rules).mapInArrow(sum_up, "rule string, n long, ms long, sample string")
-    return summed.groupBy("rule").applyInPandasWithState(slide, "rule string, at_ms long, n long, sample string", "entries string, firing boolean", "update", GroupStateTimeout.NoTimeout)
+        rate = Rate(*limits[key[0]], state.get[0] if state.exists else None)
+        rows = pd.concat(list(parts))
+        dated, undated = rows[rows["ms"].notna()].sort_values("ms", kind="stable"), rows[rows["ms"].isna()]
+        arrivals = list(zip(dated["ms"].astype("int64"), dated["n"], dated["sample"], strict=True))
+        if len(undated):
+            known = [t for t in (rate.clock, arrivals[-1][0] if arrivals else None) if event_time and t is not None]
+            now = max(known) if known else state.getCurrentProcessingTimeMs()
+            arrivals.append((now, undated["n"].sum(), undated["sample"].iloc[-1]))
+        fired = [(int(at), total, sample) for at, n, sample in arrivals if (total := rate.add(int(at), int(n))) is not None]
+        state.update((rate.dump(),))
+        yield pd.DataFrame({"rule_id": [key[0]] * len(fired), "at_ms": [x[0] for x in fired], "n": [x[1] for x in fired], "sample": [x[2] for x in fired]})
+
+    found = _matched(stream, rules).mapInArrow(count, "rule_id int, ms long, n long, sample string")
+    alerts = found.groupBy("rule_id").applyInPandasWithState(slide, "rule_id int, at_ms long, n long, sample string", "rate string", "update", GroupStateTimeout.NoTimeout)
+    return alerts.select(_named(rules).alias("rule"), "rule_id", "at_ms", "n", "sample")
 
 
 def live_histogram(stream: DataFrame, width: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
