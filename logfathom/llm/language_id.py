@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfathom.llm._words import slices
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"\P{L}+")
 
 
 def letters(text: str) -> str:

@@ -7,9 +7,9 @@ probability Jaccard similarity, the sum over common shingles x of 1 / sum over y
 
 Equal texts are one node. Nodes that share a band of registers are compared exactly, in two steps: every node with its
 bucket's leader, the one that shares most bands; then, where buckets still hold several components, the nodes outside
-the leader's component with all nodes of their cluster of buckets. The second step works on blocks of nodes inside a
-task, through an inverted index of their shingles, and emits only links that connect components; pairs are never rows.
-So no connection between candidates is lost.
+the leader's component with all nodes of their bucket (of all their buckets at once, where those hold few nodes). The
+second step works inside tasks, through an inverted index of the nodes' shingles, and emits only links that connect
+components; pairs are never rows, and a node goes to its buckets at most. So no connection between candidates is lost.
 """
 
 from __future__ import annotations
@@ -135,8 +135,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     class_id is its own doc_id and class_key is null. A text of 1 to 4 words is a single shingle. Repeated rows are
     copies of each other. Extra columns are ignored; an empty table gives no rows.
 
-    A leader's bucket is dealt over tasks by ``block`` members, a cluster of buckets over blocks of about ``block`` nodes
-    or ``block_bytes`` bytes of text, whichever is less, so that no task holds a whole group.
+    A leader's bucket is dealt over tasks by ``block`` members. What leaders leave over goes to tasks by cluster of buckets, if
+    that has about ``block`` nodes and ``block_bytes`` bytes of text at most, else by bucket, and a bucket of more than that by
+    pairs of blocks, so that no task holds a whole group.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +221,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     links = first.filter(F.col("sim") >= threshold - 1e-9).select("u", "v")
     roots = stage(components(links), "components")
 
-    # Buckets that still hold several components. Their nodes fall into clusters (linked through bucket leaders); in each
-    # cluster the nodes outside a leader's component are compared with all nodes, blocks of them with blocks.
+    # Buckets that still hold several components: in each the nodes outside its leader's component are compared with all of
+    # its nodes. Buckets whose nodes fall into one small cluster (linked through bucket leaders) are done together.
     placed = members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = stage(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band"), "mixed-buckets")
     leader_of = leaders.join(roots, leaders.u == roots.node, "left").select("band", "u", F.coalesce("root", "u").alias("leader_root"))
@@ -229,20 +230,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     if not placed.isEmpty():
         clusters = components(placed.select("u", F.col("node").alias("v")))
         status = placed.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("leader_root")).alias("outside"))
-        status = stage(status.join(clusters.withColumnRenamed("root", "cluster"), "node").join(texts, "node"), "clusters")
-        # Of clusters with several blocks the numbers go to salted parts of the cluster, so that none is one task's.
+        status = stage(status.join(clusters.withColumnRenamed("root", "cluster"), "node").join(texts.select("node", "bytes"), "node"), "clusters")
+        # A cluster of one block is compared as a whole. In a larger one each bucket is, so that a node goes to the buckets it
+        # is in, at most one for each band, however large the cluster; a bucket of several blocks goes by pairs of blocks.
         blocks = lambda rows, size: F.ceil(F.greatest(rows / block, size / block_bytes))
-        sizes = status.groupBy("cluster").agg(blocks(F.count("*"), F.sum("bytes")).alias("all_blocks"), F.coalesce(blocks(F.count_if("outside"), F.sum(F.when(F.col("outside"), F.col("bytes")))), F.lit(0)).alias("out_blocks"))
+        large = status.groupBy("cluster").agg(blocks(F.count("*"), F.sum("bytes")).alias("n")).filter("n > 1").select("cluster")
+        whole = status.join(large, "cluster", "left_anti").select(F.lit("cluster").alias("kind"), F.col("cluster").alias("unit"), "node", "root", "outside", "bytes")
+        inside = status.join(large, "cluster", "left_semi").select("node", "bytes")
+        parts = placed.join(inside, "node").select(F.lit("bucket").alias("kind"), F.col("band").alias("unit"), "node", "root", (F.col("root") != F.col("leader_root")).alias("outside"), "bytes")
+        units = stage(whole.union(parts), "units")
+        unit = ["kind", "unit"]
+        sizes = units.groupBy(*unit).agg(blocks(F.count("*"), F.sum("bytes")).alias("all_blocks"), F.coalesce(blocks(F.count_if("outside"), F.sum(F.when(F.col("outside"), F.col("bytes")))), F.lit(0)).alias("out_blocks"))
+        # The numbers of units with several blocks go to salted parts of the unit, so that none is one task's.
         several = sizes.filter("all_blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
-        salted = status.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(_SALTS)).cast("long")).join(several, ["cluster", "salt"], "left")
+        salted = units.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(_SALTS)).cast("long")).join(several, [*unit, "salt"], "left")
         sized = salted.withColumns({"all_blocks": F.coalesce("all_blocks", F.lit(1).cast("long")), "out_blocks": F.coalesce("out_blocks", F.lit(1).cast("long"))})
         at = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        row = ["node", "root", "outside", "z"]
-        outer = sized.filter("outside").select("cluster", at("o", "out_blocks").alias("i"), every("all_blocks").alias("j"), *row)
-        inner = sized.filter("out_blocks > 0").select("cluster", every("out_blocks").alias("i"), at("m", "all_blocks").alias("j"), "node", "root", F.lit(False).alias("outside"), "z")
-        dealt = outer.union(inner).repartition("cluster", "i", "j")  # or Spark would keep a cluster's blocks together
-        more = stage(dealt.groupBy("cluster", "i", "j").applyInArrow(link_block, "u long, v long"), "across")
+        row = ["node", "root", "outside"]
+        outer = sized.filter("outside").select(*unit, at("o", "out_blocks").alias("i"), every("all_blocks").alias("j"), *row)
+        inner = sized.filter("out_blocks > 0").select(*unit, every("out_blocks").alias("i"), at("m", "all_blocks").alias("j"), "node", "root", F.lit(False).alias("outside"))
+        dealt = outer.union(inner).join(texts.select("node", "z"), "node").repartition(*unit, "i", "j")  # or Spark would keep a unit's blocks together
+        more = stage(dealt.groupBy(*unit, "i", "j").applyInArrow(link_block, "u long, v long"), "across")
         if not more.isEmpty():
             roots = stage(components(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)), "components")
 

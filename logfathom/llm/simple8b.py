@@ -128,7 +128,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | Non
         task = TaskContext.get()
         own, part = codec(tokenizer_path), task.partitionId()
         name = f"ids-{part:06d}-{task.taskAttemptId()}.s8b"
-        keys, nulls, lengths, block_words, rest, total = [], [], [], [], [], 0
+        keys, nulls, lengths, block_words, rest, held, total = [], [], [], [], [], 0, 0
         out = None
 
         def flush(ids: np.ndarray) -> None:
@@ -150,12 +150,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | Non
                 nulls.append(key is None)
                 lengths.append(len(ids))
                 rest.append(ids)
-                total += len(ids)
-                if total - sum(map(len, block_words)) * BLOCK >= 1 << 20:
+                total, held = total + len(ids), held + len(ids)
+                if held >= 1 << 20:
                     ids = np.concatenate(rest)
                     whole = len(ids) // BLOCK * BLOCK
                     flush(ids[:whole])
-                    rest = [ids[whole:]]
+                    rest, held = [ids[whole:]], len(ids) - whole
         if out is None:
             return
         flush(np.concatenate(rest))

@@ -101,13 +101,13 @@ def train(doc: np.ndarray, h: np.ndarray, grades: np.ndarray, least_docs: int =
     return Model(words, x[: len(words)], np.concatenate([np.maximum.accumulate(x[len(words) :]), beyond]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 4000, top: int = TOXIC, vocabulary: int = 1 << 16) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 4000, top: int = TOXIC, vocabulary: int = 1 << 16, pairs: int = 8_000_000) -> Model:
     """Fit on at most ``per_grade`` labelled documents of each grade, those with the smallest hashes of doc_id.
 
     labels: doc_id and grade (0, 1 ... ``top``, which is toxic; a higher one is an error, negative ones and nulls are left
     out). Without labels of the top grade no text is toxic. Of several labels of one doc_id the highest counts. Words are
     counted and chosen, as train() does, by Spark; the driver receives which of the chosen ones (``vocabulary`` at most,
-    the most telling) each sampled document has. The sample bounds only the fit; the model is applied to everything.
+    the most telling, and so many that documents have ``pairs`` of them in all, 8 bytes each) each sampled document has. The sample bounds only the fit; the model is applied to everything.
     """
     graded = labels.filter("doc_id is not null and grade >= 0").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     highest = graded.agg(F.max("grade")).first()[0]
@@ -141,7 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_grade: int = 4000, top: int = TO
                 gains.append(2 * (a * F.log(F.greatest(a, F.lit(1e-9)) / (n * share)) + (n - a) * F.log(F.greatest(n - a, F.lit(1e-9)) / (n * (1 - share)))))
         best = counts.withColumn("gain", F.greatest(*gains, F.lit(0.0)))
         chosen = best.filter(F.col("gain") > least_gain(counts.count())).orderBy(F.desc("gain"), "w").limit(vocabulary)
-        kept = np.sort(np.array([r["w"] for r in chosen.select("w").collect()], np.int64))
+        found = chosen.select("w", "n").collect()
+        fits = np.cumsum([r["n"] for r in found]) <= pairs
+        kept = np.sort(np.array([r["w"] for r, fit_ in zip(found, fits.tolist(), strict=True) if fit_], np.int64))
 
     def of_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
