@@ -6,8 +6,8 @@ to every passage around it:
 
 1. Every document's rolling block hashes go to buckets by hash; those at multiples of b are the indexed blocks. A bucket
    tells which hashes an indexed block shares with another place. A task sends each distinct hash of some MB of text
-   once, so a passage that a third of all documents have costs a bucket one entry for each task's slice, not for each
-   document.
+   once, and one that it has found repeated there not again, so a passage that a third of all documents have costs a
+   bucket one entry for each task, not for each document.
 2. Around the hits, every passage's 96-bit hash goes to a bucket, which finds the first place of each passage. Unions of
    passages that are not first are the maximal repeats.
 3. The words of those are taken out.
@@ -30,6 +30,8 @@ from logfathom.llm._words import mix, slices, text_bytes, window_hashes, word_ha
 
 _LAST = (1 << 63) - 1
 _SLICE = 4_000_000  # bytes of text that repeats are looked for in before anything is sent
+_BUCKET = 64_000_000  # bytes of the table, as stored, for each bucket
+_HELD = 2_000_000  # hashes that a task knows to be repeated
 _BLOB = "bucket int, own binary, n binary, pos binary, a binary, b binary"
 
 
@@ -84,6 +86,33 @@ def _received(table: pa.Table, width: int, a: str, b: str | None) -> tuple[np.nd
     return own, pos, get("a", a), get("b", b) if b else None
 
 
+class _Seen:
+    """Hashes that a task has sent as repeated ones, with a value each (the least counts); emptied when it holds very many,
+    which only sends some again."""
+
+    def __init__(self, width: int):
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, width), np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are held, and the row of each that is."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return (self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)), at
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        if len(self.keys) + len(keys) > _HELD:
+            self.__init__(values.shape[1])
+        keys, values = np.concatenate([self.keys, keys]), np.concatenate([self.values, values])
+        order = np.lexsort((*reversed(values.T), keys))
+        first = np.concatenate(([True], keys[order][1:] != keys[order][:-1])) if len(order) else np.zeros(0, bool)
+        self.keys, self.values = keys[order[first]], values[order[first]]
+
+
+def _buckets(docs: DataFrame) -> int:
+    """Buckets for a table: as many as the session has shuffle partitions, or more where those would be large."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // _BUCKET), 100_000) if size < 1 << 60 else 1)
+
+
 def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None, keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Remove every word that a repeated passage covers; one row for each row of docs.
 
@@ -95,8 +124,7 @@ def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None
     texts, and those with the same text too count as one document, so each gets the same result. Extra columns are
     ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    size, many = window // 2, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size, many = window // 2, buckets or _buckets(docs)
     if window < 2 or window % 2:
         raise ValueError("window must be an even number of words")
 
@@ -104,6 +132,7 @@ def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None
         return ((h >> np.uint64(40)) % np.uint64(many)).astype(np.int64)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen(1)  # 0: as an indexed block
         for batch in (part for x in batches for part in slices(x, "text", _SLICE)):
             data, offsets = text_bytes(batch.column("text"))
             starts, ends, first = word_spans(data, offsets)
@@ -117,10 +146,16 @@ def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None
             anchored = np.logical_or.reduceat((pos % size == 0)[order], at)
             one = order[at]
             many_here = np.diff(np.append(at, len(h))) > 1
-            back = np.argsort(one)  # in document order again
+            held, where = seen.find(h[one])
+            sent = held.copy()
+            sent[held] = seen.values[where[held], 0] <= ~anchored[held]
+            repeated = many_here | held
+            fresh = np.flatnonzero(repeated & ~sent)
+            seen.add(h[one[fresh]], (~anchored[fresh]).astype(np.int64)[:, None])
+            many_here, back = repeated, np.flatnonzero(~sent)[np.argsort(one[~sent])]  # in document order again
             one, anchored = one[back], anchored[back]
             yield _ship(bucket_of(h[one]), many, doc[one], rid[:, None], pos[one] * 2 + anchored, h[one].astype("<u4"), None)
-            if many_here.any():  # repeated inside the slice: hits already, which a bucket only passes on
+            if many_here.any():  # repeated inside the slice, or before in this task: hits already, which a bucket only passes on
                 mine = np.sort(order[np.repeat(many_here, np.diff(np.append(at, len(h))))])
                 known = _ship(doc[mine] % many, many, doc[mine], rid[:, None], pos[mine], np.zeros(len(mine), "V0"), None)
                 yield known.set_column(4, "a", pa.nulls(known.num_rows, pa.binary()))
@@ -154,7 +189,7 @@ def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("th"), packed, *more], names=["rid", "doc_id", "th", "z", *extra])
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
+        z, seen = zstandard.ZstdDecompressor(), _Seen(4)  # the second hash, and the place sent: doc_id, text's hash, word
         for batch in batches:
             texts = pa.array([z.decompress(x) for x in batch.column("z").to_pylist()], pa.large_binary())
             batch = batch.append_column("raw", texts)
@@ -181,9 +216,22 @@ def dedup_passages(docs: DataFrame, window: int = 20, buckets: int | None = None
                 begin = np.flatnonzero(~same)
                 lead = np.repeat(order[begin], np.diff(np.append(begin, len(order))))
                 twin = (rank[doc[lead]] == rank[doc[order]]) & (pos[lead] == pos[order])
-                one = np.sort(order[begin])  # in document order
+                one, count = order[begin], np.diff(np.append(begin, len(order)))
+                place = np.column_stack([b[one].astype(np.int64), own[doc[one], 1], own[doc[one], 2], pos[one]])
+                held, where = seen.find(a[one])
+                later = held.copy()  # than the place that this task has sent of the passage
+                if held.any():
+                    was, now = seen.values[where[held]], place[held]
+                    differ = was != now
+                    column = np.where(differ.any(axis=1), differ.argmax(axis=1), 1)
+                    rows = np.arange(len(now))
+                    later[held] = ~differ[:, 0] & (was[rows, column] < now[rows, column])
+                fresh = np.flatnonzero((count > 1) & ~held)
+                seen.add(a[one[fresh]], place[fresh])
+                known_late = np.concatenate([order[~twin], one[later]])
+                one = np.sort(one[~later])  # in document order
                 yield _ship(bucket_of(a[one]), many, doc[one], own, pos[one], a[one], b[one])
-                late = np.sort(order[~twin])
+                late = np.sort(known_late)
                 if len(late):
                     known = _ship(doc[late] % many, many, doc[late], own, pos[late], np.zeros(len(late), "V0"), None)
                     yield known.set_column(4, "a", pa.nulls(known.num_rows, pa.binary()))

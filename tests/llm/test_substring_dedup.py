@@ -46,3 +46,31 @@ def test_stage(docs, documents):
     assert got.columns == docs.columns and got.count() == len(documents)
     rows = {r.doc_id: r for r in got.collect()}
     assert rows[0].text == dict(documents)[0] and rows[20].text == "" and rows[20].n_chars == 0 and rows[20].th == "th"
+
+
+def test_hot_passages_over_slices_and_tasks(spark, prose, monkeypatch):
+    """A passage in every document, tasks of many slices: each task sends a repeated hash once, and rows stay right."""
+    from logfathom.llm import substring_dedup as module
+
+    passage = prose(45, 1)
+    items = [(i, f"{prose(15 + i % 7, 100 + i)} {passage} {prose(5, 900 + i)}" + (f" {passage}" if i % 5 == 0 else "")) for i in range(240)]
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(2)
+    want = sorted(brute(items), key=str)
+    for slice_, held in ((4_000_000, 2_000_000), (2_000, 2_000_000), (2_000, 50)):
+        monkeypatch.setattr(module, "_SLICE", slice_)
+        monkeypatch.setattr(module, "_HELD", held)
+        got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in dedup_passages(df, buckets=3).collect()), key=str)
+        assert got == want
+    assert sum(x[2] for x in want) > 240 * 40
+
+
+def test_what_a_task_has_sent():
+    import numpy as np
+
+    from logfathom.llm.substring_dedup import _Seen
+
+    seen = _Seen(1)
+    seen.add(np.array([5, 3], np.uint64), np.array([[1], [0]]))
+    seen.add(np.array([5], np.uint64), np.array([[0]]))
+    held, at = seen.find(np.array([3, 4, 5, 9], np.uint64))
+    assert held.tolist() == [True, False, True, False] and seen.values[at[held], 0].tolist() == [0, 0]
