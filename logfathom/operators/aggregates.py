@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from logfathom.functions.predicates import Capture
 from logfathom.functions.values import LEVEL_NAMES, ascii_fold, to_num
+from logfathom.sources.ordered import in_order, staged
 
 # Keys that a summary of fields leaves out (any case).
 SUMMARY_SKIPS = ["timestamp", "ts", "time", "@timestamp", "date", "datetime", "eventtime", "level", "lvl", "severity", "loglevel", "message", "msg"]
-_COARSE = 1024
+_RANGES = 128  # that values are put in order by
 
 
 def _one_row(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -121,46 +122,48 @@ def capture_facet(lines: DataFrame, capture: Capture, limit: int = 25) -> DataFr
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
-    """keys, q, value at the 0-based rank floor(q * (n - 1) + 0.5) of each key's non-null values.
+    """keys, q, value at the 0-based rank floor(q * (n - 1) + 0.5) of each key's non-null values. Values are counted first,
+    in one read of df."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    return rank_of_counts(counts, keys, quantiles)
 
-    Values are counted first; then the counts of 1,024 equal ranges of a key tell which range has the rank, and only
-    that range's distinct values are put in order, so that a key with most of the rows isn't sorted by one task.
+
+def rank_of_counts(counts: DataFrame, keys: Sequence[str], quantiles: Sequence[float], parts: int = _RANGES) -> DataFrame:
+    """nearest_rank() of values __v that each key has __c times; no value twice in a key.
+
+    They are written in the order of (keys, value) as range partitions that a sample of them has cut, so that outliers
+    don't matter and a key with most of the values is in many partitions. Sums by partition tell where a rank is, and only
+    the values of that key in that partition are summed up one by one.
     """
     keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull())
     if not keys:
-        rows, keys = rows.withColumn("__all", F.lit(0)), ["__all"]
-    same = lambda a, b: [a[k].eqNullSafe(b[f"__{k}"]) for k in keys]
-    named = [F.col(k).alias(f"__{k}") for k in keys]
-    counts = rows.groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    whole = counts.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n")).select(*named, "__lo", "__hi", "__n")
-    joined = counts.join(whole, same(counts, whole)).drop(*[f"__{k}" for k in keys])
-    share = (F.col("__v") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
-    parts = joined.withColumn("__part", F.coalesce(F.least(F.floor(share * _COARSE), F.lit(_COARSE - 1)), F.lit(0)))
-    sums = parts.groupBy(*keys, "__part", "__n").agg(F.sum("__c").alias("__s"))
-    spans = sums.withColumn("__end", F.sum("__s").over(Window.partitionBy(*keys).orderBy("__part"))).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
+        counts, keys = counts.withColumn("__all", F.lit(0)), ["__all"]
+    rows = in_order(counts, [*keys, "__v"], "ranks", parts).all().drop("row")
+    sums = rows.groupBy(*keys, "__part").agg(F.sum("__c").alias("__s"))
+    own = Window.partitionBy(*keys)
+    spans = sums.withColumns({"__end": F.sum("__s").over(own.orderBy("__part")), "__n": F.sum("__s").over(own)}).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
     ranked = spans.withColumn("__rank", F.floor(F.col("q") * (F.col("__n") - 1) + 0.5))
     hit = ranked.filter((F.col("__rank") < F.col("__end")) & (F.col("__rank") >= F.col("__end") - F.col("__s")))
-    hit = hit.select(*named, F.col("__part").alias("__of_part"), "q", (F.col("__rank") - (F.col("__end") - F.col("__s"))).alias("__left"))
-    inside = parts.join(hit, [*same(parts, hit), parts["__part"] == hit["__of_part"]])
-    run = F.sum("__c").over(Window.partitionBy(*keys, "q").orderBy("__v"))
-    first = inside.withColumn("__run", run).filter(F.col("__run") > F.col("__left"))
+    hit = hit.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__of_part"), "q", (F.col("__rank") - (F.col("__end") - F.col("__s"))).alias("__left"))
+    inside = rows.join(hit, [rows["__part"] == hit["__of_part"], *[rows[k].eqNullSafe(hit[f"__{k}"]) for k in keys]])
+    first = inside.withColumn("__run", F.sum("__c").over(Window.partitionBy(*keys, "q").orderBy("__v"))).filter(F.col("__run") > F.col("__left"))
     return first.groupBy(*keys, "q").agg(F.min("__v").alias("value")).drop("__all")
 
 
 def numeric_facet(lines: DataFrame, field: str, buckets: int = 24) -> DataFrame:
     """bin, lo, hi, n with count, min, max, avg, p50, p95 on each row; zero bins kept, the maximum in the last; one bin
-    for a single value, no row without numbers."""
+    for a single value, no row without numbers. The lines are read once, into counts of the values."""
     bins = min(max(buckets, 1), 200)
-    nums = lines.select(to_num(F.col("fields")[field]).alias("num")).filter("num is not null")
-    whole = nums.agg(F.count("*").alias("count"), F.min("num").alias("min"), F.max("num").alias("max"), F.avg("num").alias("avg"))
-    ranks = nearest_rank(nums, [], "num", [0.5, 0.95]).agg(F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("p50"), F.max(F.when(F.col("q") == 0.95, F.col("value"))).alias("p95"))
+    nums = lines.select(to_num(F.col("fields")[field]).alias("__v")).filter("__v is not null")
+    counts = staged(nums.groupBy("__v").agg(F.count("*").alias("__c")), "values")
+    whole = counts.agg(F.sum("__c").alias("count"), F.min("__v").alias("min"), F.max("__v").alias("max"), (F.sum(F.col("__v") * F.col("__c")) / F.sum("__c")).alias("avg"))
+    ranks = rank_of_counts(counts, [], [0.5, 0.95]).agg(F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("p50"), F.max(F.when(F.col("q") == 0.95, F.col("value"))).alias("p95"))
     whole = _one_row(whole, ranks).filter("count > 0").withColumn("bins", F.when(F.col("max") > F.col("min"), bins).otherwise(1)).withColumn("width", (F.col("max") - F.col("min")) / F.col("bins"))
-    at = F.when(F.col("width") > 0, F.least(F.floor((F.col("num") - F.col("min")) / F.col("width")), F.col("bins") - 1)).otherwise(0)
-    counts = _one_row(nums, whole.select("min", "width", "bins")).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    at = F.when(F.col("width") > 0, F.least(F.floor((F.col("__v") - F.col("min")) / F.col("width")), F.col("bins") - 1)).otherwise(0)
+    in_bins = _one_row(counts, whole.select("min", "width", "bins")).groupBy(at.cast("int").alias("bin")).agg(F.sum("__c").alias("n"))
     rows = whole.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
     lo = F.col("min") + F.col("width") * F.col("bin")
-    out = rows.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("lo", lo)
+    out = rows.join(in_bins, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("lo", lo)
     return out.withColumn("hi", F.when(F.col("bin") == F.col("bins") - 1, F.col("max")).otherwise(F.col("lo") + F.col("width"))).select("bin", "lo", "hi", "n", "count", "min", "max", "avg", "p50", "p95")
 
 
@@ -225,6 +228,11 @@ def aggregate(lines: DataFrame, group: Group = Group(), split: Split | None = No
     else:
         how = {"count": F.count("*"), "unique": F.count_distinct("m") if metric.field else None, "sum": F.sum("m") if metric.field else None, "avg": F.avg("m") if metric.field else None, "min": F.min("m") if metric.field else None, "max": F.max("m") if metric.field else None}[metric.kind]
         cells = rows.groupBy("g", "s").agg(how.cast("double").alias("value"), shown)
+    return _shown(cells, group, split)
+
+
+def _shown(cells: DataFrame, group: Group, split: Split | None) -> DataFrame:
+    """The cells (g, s, value, shown) of the largest groups and series."""
     cells = cells.withColumn("value", F.col("value").cast("double")).withColumn("truncated", F.lit(False))
     if split is not None:
         most = split.limit or (50 if split.kind == "level" else 12)
@@ -240,6 +248,49 @@ def aggregate(lines: DataFrame, group: Group = Group(), split: Split | None = No
     return cells.select(F.col("shown").cast("string").alias("group"), F.col("s").alias("series"), "value", "truncated")
 
 
+def _value_of(metric: Metric) -> Column:
+    """A metric of counted rows: n, total, low, high, and u, what unique counts."""
+    of = {"count": F.sum("n"), "unique": F.count_distinct("u"), "sum": F.sum("total"), "avg": F.sum("total") / F.sum("n"), "min": F.min("low"), "max": F.max("high")}
+    return of[metric.kind].cast("double")
+
+
 def run_panels(lines: DataFrame, panels: dict[str, tuple[Column | None, Group, Split | None, Metric]]) -> dict[str, DataFrame]:
-    """A dashboard: for each panel its aggregate over the lines in its scope. Persist lines first if panels are many."""
-    return {name: aggregate(lines if scope is None else lines.filter(scope), group, split, metric) for name, (scope, group, split, metric) in panels.items()}
+    """A dashboard: for each panel its aggregate() over the lines in its scope.
+
+    The lines are read once: each becomes a row for every panel that it is in, and all panels are counted together, by
+    panel, group (or time), series and, where a metric needs single values, value. Panels are made of those counts.
+    """
+    entries = []
+    for i, (scope, group, split, metric) in enumerate(panels.values()):
+        _checked(group, split, metric)
+        raw = F.col("fields")[group.field] if group.kind == "field" else F.lit("all")
+        series = F.lit("all") if split is None else F.coalesce("level", F.lit("NONE")) if split.kind == "level" else F.coalesce(F.col("fields")[split.field], F.lit("(none)"))
+        text = F.col("fields")[metric.field] if metric.field else F.lit(None).cast("string")
+        number = to_num(text) if metric.field and metric.kind != "unique" else F.lit(None).cast("double")
+        counts = F.lit(True) if not metric.field else text.isNotNull() if metric.kind == "unique" else number.isNotNull()
+        inside = (F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))) & (F.col("ts").isNotNull() if group.kind == "time" else raw.isNotNull() & counts)
+        ranked = metric.kind in ("p50", "p95")
+        entry = F.struct(
+            F.lit(i).alias("panel"), ascii_fold(raw).alias("g"), (F.unix_millis("ts") if group.kind == "time" else F.lit(None).cast("long")).alias("ms"), series.alias("s"), number.alias("m"),
+            (number if ranked else F.lit(None).cast("double")).alias("v"), (ascii_fold(text) if metric.kind == "unique" else F.lit(None).cast("string")).alias("u"), raw.alias("raw"), counts.cast("int").alias("one"),
+        )
+        entries.append(F.when(inside, entry))
+    rows = lines.select("stream", "line_no", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("stream", "line_no", "e.*")
+    counted = rows.groupBy("panel", "g", "ms", "s", "v", "u").agg(F.sum("one").alias("n"), F.sum("m").alias("total"), F.min("m").alias("low"), F.max("m").alias("high"), F.min(F.struct("stream", "line_no", "raw")).alias("first"))
+    counted = staged(counted, "panels")
+    out = {}
+    for i, (name, (_, group, split, metric)) in enumerate(panels.items()):
+        own = counted.filter(F.col("panel") == i)
+        if group.kind == "time":
+            span = own.agg(F.min("ms").alias("lo_ms"), F.max("ms").alias("hi_ms"))
+            sized = span.select("lo_ms", width_floor(F.col("lo_ms"), F.col("hi_ms"), group.buckets).cast("long").alias("bucket_ms"))
+            own = _one_row(own, sized).withColumn("g", F.col("lo_ms") + F.floor((F.col("ms") - F.col("lo_ms")) / F.col("bucket_ms")).cast("long") * F.col("bucket_ms"))
+        own = own.filter("n > 0")
+        shown = F.min("first")["raw"].alias("shown") if group.kind == "field" else F.max("g").alias("shown")
+        if metric.kind in ("p50", "p95"):
+            ranks = rank_of_counts(own.groupBy("g", "s", F.col("v").alias("__v")).agg(F.sum("n").alias("__c")), ["g", "s"], [float(metric.kind[1:]) / 100]).select("g", "s", "value")
+            cells = own.groupBy("g", "s").agg(shown).join(ranks, ["g", "s"])
+        else:
+            cells = own.groupBy("g", "s").agg(_value_of(metric).alias("value"), shown)
+        out[name] = _shown(cells, group, split)
+    return out

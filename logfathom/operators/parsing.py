@@ -35,7 +35,6 @@ LOGFMT_PAIR = r'([A-Za-z_][\w.@-]*)=(?:"((?:[^"\\]|\\.)*)"|(\S*))'
 FORMATS = ["json", *TEXT_FORMATS, "logfmt", "raw"]
 _META = {"timestamp", "level", "level2", "message"}
 _FIELDS = "map<string,string>"
-_OUT = ["ts", "level", "message", "fields", "starts_record"]
 
 
 @dataclass(frozen=True)
@@ -57,15 +56,16 @@ def _bound(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
 
 
 def _finished(rows: DataFrame, keep: Sequence[str], matched: Column, ts: Column, level: Column, message: Column, fields: Column, starts: Column, starts_else: Column, year: int) -> DataFrame:
-    """keep and the parsed columns: from the texts given where matched, else sniffed as parse_raw() does."""
+    """keep and the parsed columns: from the texts given where matched, else sniffed as parse_raw() does. They are plain
+    projections, so that those nobody asks for are not computed; the text of a timestamp is one of its own, which the many
+    shapes of a timestamp then share."""
     text, none = F.col("text"), F.lit(None)
-    parts = _bound(
-        rows, keep, __ok=matched, __ts=F.when(matched, F.trim(ts)).otherwise(F.regexp_extract(text, SNIFF_TS, 0)), __level=F.when(matched, level).otherwise(F.regexp_extract(text, LEVEL_WORD, 1)),
-        message=F.when(matched, message).otherwise(text), fields=F.when(matched, fields).otherwise(none.cast(_FIELDS)), starts_record=F.when(matched, starts).otherwise(starts_else),
+    parts = rows.select(
+        *keep, matched.alias("__ok"), F.when(matched, F.trim(ts)).otherwise(F.regexp_extract(text, SNIFF_TS, 0)).alias("__ts"), F.when(matched, level).otherwise(F.regexp_extract(text, LEVEL_WORD, 1)).alias("__level"),
+        F.when(matched, message).otherwise(text).alias("message"), F.when(matched, fields).otherwise(none.cast(_FIELDS)).alias("fields"), F.when(matched, starts).otherwise(starts_else).alias("starts_record"),
     )
     ms = F.when(F.col("__ok"), timestamp_ms(F.col("__ts"), year)).otherwise(ymd_ms(F.col("__ts")))
-    done = _bound(parts, [*keep, "message", "fields", "starts_record"], ts=F.timestamp_millis(ms), level=normalize_level(F.col("__level")))
-    return done.select(*keep, *_OUT)
+    return parts.select(*keep, F.timestamp_millis(ms).alias("ts"), normalize_level(F.col("__level")).alias("level"), "message", "fields", "starts_record")
 
 
 def _map(pairs: Column) -> Column:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfathom.functions.values import template_of
-from logfathom.operators.records import SPLIT_LINES
-from logfathom.sources.files import with_line_numbers
+from logfathom.sources.ordered import numbered
 
 
 def with_templates(lines: DataFrame) -> DataFrame:
@@ -18,14 +17,10 @@ def with_templates(lines: DataFrame) -> DataFrame:
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """id (by first appearance, from 0), pattern, count over head lines. Patterns are numbered inside splits of the streams
-    where they come first; only one row a split, and then one row a stream, is put in order."""
+    """id (by first appearance, from 0), pattern, count over head lines. The lines are read once; the patterns are put in
+    order as range partitions, whose counts number them."""
     counts = lines.filter("template is not null").groupBy(F.col("template").alias("pattern")).agg(F.count("*").alias("count"), F.min(F.struct("stream", "line_no")).alias("first"))
-    placed = counts.select("pattern", "count", F.col("first.stream").alias("stream"), F.col("first.line_no").alias("__line"), F.floor(F.col("first.line_no") / SPLIT_LINES).alias("__split"))
-    numbered = with_line_numbers(placed, ["stream"], ["__split"], [F.col("__line")])
-    before = Window.orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)  # streams alone
-    starts = placed.groupBy("stream").agg(F.count("*").alias("__n")).select(F.col("stream").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return numbered.join(starts, F.col("stream").eqNullSafe(F.col("__of"))).select((F.col("line_no") + F.col("__before")).cast("long").alias("id"), "pattern", "count")
+    return numbered(counts, ["first"], "id").select(F.col("id").cast("long").alias("id"), "pattern", "count")
 
 
 def clusters(lines: DataFrame, limit: int = 50, pred: Column | None = None) -> DataFrame:

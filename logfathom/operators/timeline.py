@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logfathom.operators.aggregates import time_histogram, width_ceil
+from logfathom.sources.ordered import Ordered, in_order
 
 ORDER = ["ts", "source", "stream", "line_no"]
 
@@ -37,6 +39,16 @@ def merged_page(tl: DataFrame, offset: int = 0, limit: int = 200, newest_first:
     return rows.orderBy(*[F.col(c).desc() if newest_first else F.col(c).asc() for c in ORDER]).offset(offset).limit(min(limit, 2000))
 
 
+def materialize_timeline(tl: DataFrame) -> Ordered:
+    """A timeline in its order, written once, for result_page() and seek_result()."""
+    return in_order(tl, ORDER, "timeline")
+
+
+def seek_result(timeline: Ordered, ts_ms: int) -> DataFrame:
+    """seek() of a materialized timeline: the counts of earlier partitions, and the one that has the time inside."""
+    return timeline.seek(datetime.fromtimestamp(ts_ms / 1000))
+
+
 def merged_histogram(tl: DataFrame, buckets: int = 100) -> DataFrame:
     return time_histogram(tl, buckets, width_ceil)
 

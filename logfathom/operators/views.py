@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logfathom.operators.records import _bare, carried, grouped as grouped_records
+from logfathom.sources.ordered import Ordered, in_order
 
 SHOWN_CHARS, PAGE_ROWS, CONTEXT_LINES, RANGE_LINES, EVIDENCE_LINES = 4096, 2000, 1000, 500, 1000
+_SPLIT = 1024  # lines; no fewer than CONTEXT_LINES, so that a hit reaches the next split at most
 
 
 def search(lines: DataFrame, pred: Column, grouped: bool = False) -> DataFrame:
@@ -29,6 +31,17 @@ def page(df: DataFrame, offset: int = 0, limit: int = 200, newest_first: bool =
     return rows.withColumn("truncated", F.char_length("text") > SHOWN_CHARS).withColumn("text", F.substring("text", 1, SHOWN_CHARS))
 
 
+def materialize(df: DataFrame, order: Sequence[str] = ("stream", "line_no")) -> Ordered:
+    """A view put in order once, for result_page() and, where the first of order is ``ts``, seeks."""
+    return in_order(df, order, "result")
+
+
+def result_page(result: Ordered, offset: int = 0, limit: int = 200, newest_first: bool = False) -> DataFrame:
+    """page() of a materialized result: reads the partitions that hold its rows, however deep."""
+    rows = result.page(offset, min(limit, PAGE_ROWS), newest_first)
+    return rows.withColumn("truncated", F.char_length("text") > SHOWN_CHARS).withColumn("text", F.substring("text", 1, SHOWN_CHARS))
+
+
 def table(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
     """stream, line_no, ts, level and chosen fields, null where missing."""
     return lines.select("stream", "line_no", "ts", "level", *[F.col("fields")[c].alias(c) for c in columns])
@@ -38,13 +51,37 @@ def line_range(lines: DataFrame, start: int, count: int) -> DataFrame:
     return lines.filter(F.col("line_no").between(start, start + count - 1)).select("stream", "line_no", "text")
 
 
+def _merged(hits: Column, before: int, after: int) -> Column:
+    """Sorted line numbers as the ranges of lines around them, those that meet made one."""
+
+    def add(ranges: Column, hit: Column) -> Column:
+        last = F.try_element_at(ranges, F.lit(-1))
+        new = F.struct((hit - before).alias("low"), (hit + after).alias("high"))
+        meets = last["high"] >= hit - before - 1
+        wider = F.concat(F.slice(ranges, 1, F.size(ranges) - 1), F.array(F.struct(last["low"].alias("low"), (hit + after).alias("high"))))
+        return F.when(F.coalesce(meets, F.lit(False)), wider).otherwise(F.concat(ranges, F.array(new)))
+
+    return F.aggregate(hits, F.array().cast("array<struct<low:bigint,high:bigint>>"), add)
+
+
 def context(lines: DataFrame, pred: Column, before: int = 3, after: int = 3) -> DataFrame:
-    """All hits with their neighbours (at most 1,000 on either side), each line once, hits flagged."""
-    before, after = min(before, CONTEXT_LINES), min(after, CONTEXT_LINES)
-    hits = lines.filter(pred).select("stream", "line_no")
-    around = hits.select("stream", F.explode(F.sequence(F.greatest(F.col("line_no") - before, F.lit(0)), F.col("line_no") + after)).alias("line_no"), F.col("line_no").alias("of"))
-    wanted = around.groupBy("stream", "line_no").agg(F.max(F.col("line_no") == F.col("of")).alias("match"))
-    return lines.join(wanted, ["stream", "line_no"])
+    """All hits with their neighbours (at most 1,000 on either side), each line once, hits flagged.
+
+    Hits are gathered by split of 1,024 lines, with the last hit of the split before and the first of the one after, the only
+    ones of theirs that can matter; they become ranges, and lines meet the ranges of their split: a row a split, however
+    many lines there are around a hit.
+    """
+    before, after = min(max(before, 0), CONTEXT_LINES), min(max(after, 0), CONTEXT_LINES)
+    at = F.floor(F.col("line_no") / _SPLIT).cast("long")
+    hits = lines.filter(pred).groupBy("stream", at.alias("__split")).agg(F.array_sort(F.collect_set("line_no")).alias("hits"))
+    one = lambda split, found: F.struct(split.alias("split"), found.alias("hits"))
+    split, found = F.col("__split"), F.col("hits")
+    each = hits.select("stream", F.explode(F.array(one(split, found), one(split + 1, F.slice(found, -1, 1)), one(split - 1, F.slice(found, 1, 1)))).alias("e"))
+    # (A line may be numbered from anywhere: splits before the first line just have no lines.)
+    ranges = each.groupBy("stream", F.col("e.split").alias("__split")).agg(_merged(F.array_sort(F.flatten(F.collect_list("e.hits"))), before, after).alias("__ranges"))
+    met = lines.withColumn("__split", at).join(ranges, ["stream", "__split"])
+    inside = F.exists("__ranges", lambda r: F.col("line_no").between(r["low"], r["high"]))
+    return met.filter(inside).withColumn("match", F.coalesce(pred, F.lit(False))).drop("__split", "__ranges")
 
 
 def adjacent_hits(lines: DataFrame, pred: Column) -> DataFrame:

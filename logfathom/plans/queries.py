@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -368,6 +369,13 @@ def page(spark, sf):
     return V.page(L.typed_lines(spark, sf), 300, 100, newest_first=True).select("stream", "line_no", "text", "truncated")
 
 
+@query("v03_result_page", f"WITH {EVENTS} SELECT stream, line_no, text, false AS truncated FROM e ORDER BY stream DESC, line_no DESC LIMIT 100 OFFSET (SELECT count(*) // 2 FROM events)")
+def result_page(spark, sf):
+    """A page from the middle of a materialized result."""
+    result = V.materialize(L.typed_lines(spark, sf).select("stream", "line_no", "text"))
+    return V.result_page(result, result.total // 2, 100, newest_first=True).select("stream", "line_no", "text", "truncated")
+
+
 @query("v04_table", f"WITH {EVENTS} SELECT stream, line_no, ms, level, event, CAST(NULL AS VARCHAR) AS missing FROM e")
 def fields_table(spark, sf):
     return V.table(L.typed_lines(spark, sf), ["event", "missing"]).select("stream", "line_no", _ms().alias("ms"), "level", "event", "missing")
@@ -508,12 +516,15 @@ for _q in ("50", "95"):
 
 
 @query("a19_run_panels", f"""WITH {EVENTS} SELECT 'errors' AS panel, event AS "group", CAST(count(*) AS DOUBLE) AS value FROM e WHERE level = 'ERROR' GROUP BY ALL
-UNION ALL SELECT 'slow', event, max(value) FROM e WHERE value > 20 GROUP BY ALL""")
+UNION ALL SELECT 'slow', event, max(value) FROM e WHERE value > 20 GROUP BY ALL
+UNION ALL SELECT 'users', event, count(DISTINCT usr) FROM e GROUP BY ALL
+UNION ALL SELECT 'median', event, value FROM (SELECT event, value, row_number() OVER (PARTITION BY event ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event) AS c FROM e) WHERE r = floor(0.5 * (c - 1) + 0.5)
+UNION ALL SELECT 'by time', CAST(lo + (ms - lo) // w * w AS VARCHAR), count(*) FROM e, (SELECT min(ms) AS lo, CAST(greatest(greatest(max(ms) - min(ms), 1) // 20 + 1, 1) AS BIGINT) AS w FROM e) GROUP BY ALL""")
 def run_panels(spark, sf):
     lines = L.typed_lines(spark, sf)
-    got = A.run_panels(lines, {"errors": (P.level_cmp("eq", "ERROR"), A.Group("field", "event"), None, A.Metric()), "slow": (P.field_cmp("duration_ms", "gt", 20), A.Group("field", "event"), None, A.Metric("max", "duration_ms"))})
-    out = [df.select(F.lit(n).alias("panel"), "group", "value") for n, df in got.items()]
-    return out[0].unionByName(out[1])
+    got = A.run_panels(lines, {"errors": (P.level_cmp("eq", "ERROR"), A.Group("field", "event"), None, A.Metric()), "slow": (P.field_cmp("duration_ms", "gt", 20), A.Group("field", "event"), None, A.Metric("max", "duration_ms")),
+        "users": (None, A.Group("field", "event"), None, A.Metric("unique", "user")), "median": (None, A.Group("field", "event"), None, A.Metric("p50", "duration_ms")), "by time": (None, A.Group("time", buckets=20), None, A.Metric())})
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("panel"), "group", "value") for n, df in got.items()])
 
 
 # ---------------------------------------------------------------- templates and diagnostics
@@ -626,6 +637,11 @@ def seek(spark, sf):
     return M.seek(M.merge_timeline(_sources(spark, sf)), 1705276800000)
 
 
+@query("m05_seek_result", f"WITH {_BOTH} SELECT count(*) AS n FROM m WHERE ms < epoch_ms(TIMESTAMP '2024-01-15')")
+def seek_result(spark, sf):
+    return M.seek_result(M.materialize_timeline(M.merge_timeline(_sources(spark, sf)).drop("fields")), 1705276800000)
+
+
 # ---------------------------------------------------------------- streaming
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import gzip
 import io
 import itertools
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logfathom.sources.ordered import numbered, scratch
+
 LINE_CHARS, SHOWN_CHARS = 1 << 20, 4096
 LEVEL_TS = ["ts", "level"]
 # What rotation adds to a name, and the endings of compressed files.
@@ -21,18 +22,6 @@ _GZIP = b"\x1f\x8b"
 _DATE, _PACKED = r"[._-]\d{4}-?\d{2}-?\d{2}", "gz|gzip|bz2|xz|zip"
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one
-    in local mode; on a cluster that is an error, since executors don't see the driver's folders."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def with_line_numbers(df: DataFrame, stream: Sequence[str], split: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """line_no, dense from 0 in each stream, by numbering inside splits.
 
@@ -115,7 +104,8 @@ def from_table(df: DataFrame, text_col: str, order_cols: Sequence[str], stream_c
     """stream, line_no, text of any table's text column, numbered by order_cols within stream_cols (joined by ``/``).
 
     A first order column that is a number or a time also cuts a stream into splits, of ``split_rows`` units or an hour,
-    so that no window holds a whole stream. Null texts are empty lines; nulls sort first.
+    so that no window holds a whole stream; by any other column the rows are written as range partitions, whose counts give
+    the numbers. Null texts are empty lines; nulls sort first.
     """
     stream = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in stream_cols]) if stream_cols else F.lit("table")
     first, kind = F.col(order_cols[0]), df.schema[order_cols[0]].dataType
@@ -124,7 +114,9 @@ def from_table(df: DataFrame, text_col: str, order_cols: Sequence[str], stream_c
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         split = F.date_trunc("hour", first)
     else:
-        split = F.lit(0)
+        keys = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order_cols)]
+        bare = df.select(stream.alias("stream"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keys)
+        return numbered(bare, ["stream", *[f"__o{i}" for i in range(len(keys))]], "line_no", F.col("stream")).select("stream", "line_no", "text")
     rows = df.withColumn("stream", stream).withColumn("__split", split).withColumn("text", F.coalesce(F.col(text_col), F.lit("")))
     return with_line_numbers(rows, ["stream"], ["__split"], [F.col(c) if c != "text" else F.col(text_col) for c in order_cols]).select("stream", "line_no", "text")
 
