@@ -14,7 +14,7 @@ from logfathom.sources.ordered import in_order, staged
 
 # Keys that a summary of fields leaves out (any case).
 SUMMARY_SKIPS = ["timestamp", "ts", "time", "@timestamp", "date", "datetime", "eventtime", "level", "lvl", "severity", "loglevel", "message", "msg"]
-_RANGES = 128  # that values are put in order by
+_RANGES = 80  # that values are put in order by
 
 
 def _one_row(df: DataFrame, row: DataFrame) -> DataFrame:

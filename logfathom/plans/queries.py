@@ -20,6 +20,7 @@ from logfathom.operators import timeline as M
 from logfathom.operators import views as V
 from logfathom.plans import rendering as L
 from logfathom.sources import files as S
+from logfathom.sources import index as I
 from logfathom.streaming import tail as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -338,6 +339,27 @@ _pred("f01_match_all", P.match_all, "true")
 _pred("f02_boolean", lambda: P.any_of(P.all_of(P.field_eq("event", "click"), P.field_cmp("k", "lt", 10)), P.negate(P.level_cmp("lte", "TRACE"))), "(event = 'click' AND k < 10) OR NOT (level <= 'TRACE')")
 _doc_pred("f03_term", lambda: P.term("Licens"), "regexp_matches(strip_accents(lower(text)), '(^|[^\\p{L}\\p{N}])licens')")
 _doc_pred("f04_phrase", lambda: P.phrase("apache license"), "regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])apache[^\\p{L}\\p{N}]+license($|[^\\p{L}\\p{N}])')")
+
+
+def _indexed(spark, sf) -> str:
+    """The typed lines as log files by range of event_id, in an incremental table with its index."""
+    logs, store = S.scratch(spark, "incoming"), S.scratch(spark, "store")
+    e = L.events(spark, sf)
+    text = e.select("event_id", F.format_string("%s k=%s by %s", e.event, e.k, e.user).alias("text"))
+    text.repartitionByRange(64, "event_id").select("text").write.text(logs)
+    S.ingest_incremental(spark, f"{logs}/part-*", store, lambda raw: raw, "none", index=True)
+    return store
+
+
+@query("f03_term_indexed", f"WITH {EVENTS} SELECT text FROM e WHERE usr LIKE 'u12%'")
+def term_indexed(spark, sf):
+    return I.indexed_search(spark, _indexed(spark, sf), "by U12").select("text")
+
+
+@query("f04_phrase_indexed", f"WITH {EVENTS} SELECT text FROM e WHERE usr = 'u7'")
+def phrase_indexed(spark, sf):
+    return I.indexed_search(spark, _indexed(spark, sf), "by u7", whole=True).select("text")
+
 _pred("f05_field_eq", lambda: P.field_eq("event", "ERROR"), "event = 'error'")
 _pred("f06_field_cmp_number", lambda: P.field_cmp("duration_ms", "gte", 20.5), "value >= 20.5")
 _pred("f07_field_cmp_text", lambda: P.field_cmp("event", "gt", "ERROR"), "event > 'error'")
@@ -676,8 +698,8 @@ def stream_records(spark, sf):
     path = S.scratch(spark, "record-lines")
     S.explode_lines(L.table(spark, sf, "documents"), "text", F.col("doc_id").cast("string")).write.parquet(path)
     stream = spark.readStream.schema("stream string, line_no long, text string").parquet(path)
-    got = W.run_available(W.stream_records(stream), "update")
-    return got.groupBy("stream", "head").agg(F.max_by("span", "batch").alias("span"), F.md5(F.max_by("text", "batch")).alias("text"))
+    got = W.collect_records(W.run_available(W.stream_records(stream), "append"))
+    return got.select("stream", "head", "span", F.md5("text").alias("text"))
 
 
 @query("x04_watch_match", f"WITH {EVENTS} SELECT 'errors' AS rule, count(*) AS n FROM e WHERE level = 'ERROR' UNION ALL SELECT 'sevens', count(*) FROM e WHERE k = 7")

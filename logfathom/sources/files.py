@@ -164,21 +164,25 @@ def _manifest_at(table: str, version: int) -> str:
     return f"{table}/manifest/v{version:010d}"
 
 
-def snapshot(spark: SparkSession, table: str, schema: T.StructType | None = None) -> DataFrame:
-    """The lines of the last whole version of a table that ingest_incremental() keeps, each with the generation that its
-    file was parsed in. Streams and generations are folders, so those that the manifest does not name are not read."""
+def live_files(spark: SparkSession, table: str) -> DataFrame:
+    """stream, generation of the files in the last whole version of a table."""
     _, version = _versions(spark, table)
     if version is None:
         raise ValueError(f"no whole version of {table}")
-    live = spark.read.parquet(_manifest_at(table, version)).select("stream", "generation")
-    reader = spark.read.option("mergeSchema", False)
+    return spark.read.parquet(_manifest_at(table, version)).select("stream", "generation")
+
+
+def snapshot(spark: SparkSession, table: str, schema: T.StructType | None = None) -> DataFrame:
+    """The lines of the last whole version of a table that ingest_incremental() keeps, each with the generation that its
+    file was parsed in. Streams and generations are folders, so those that the manifest does not name are not read."""
+    live, reader = live_files(spark, table), spark.read
     if schema is not None:
         names = [f for f in schema.fields if f.name not in ("stream", "generation")]
         reader = reader.schema(T.StructType([*names, T.StructField("generation", T.StringType()), T.StructField("stream", T.StringType())]))
     return reader.parquet(f"{table}/lines").join(live, ["stream", "generation"])
 
 
-def ingest_incremental(spark: SparkSession, paths: str | list[str], table: str, parse, parser_set: str = "") -> DataFrame:
+def ingest_incremental(spark: SparkSession, paths: str | list[str], table: str, parse, parser_set: str = "", index: bool = False) -> DataFrame:
     """Bring a table up to date with the files that ``paths`` name now, parsing only those whose fingerprint (path, size,
     modification time, parser set) its manifest lacks. ``parse(raw)`` turns stream, line_no, text into the rows to keep.
     Returns the whole table, see snapshot().
@@ -186,8 +190,11 @@ def ingest_incremental(spark: SparkSession, paths: str | list[str], table: str,
     ``table`` is a folder. Lines are Parquet by generation (one for each call) and stream; a version of the manifest says
     which generation each file's lines are of. A call first writes its generation, then the next version; until that is
     whole, readers see the one before, and a call that was broken off leaves only files that no manifest names. Files that
-    are gone, renamed or empty now leave no lines. Two calls at once can't write the same version: one of them fails.
+    are gone, renamed or empty now leave no lines. Two calls at once can't write the same version: one of them fails. With
+    index, the new lines' tokens are indexed too (see indexed_search()); give it in all calls on a table or in none.
     """
+    from logfathom.sources.index import write_index
+
     listing = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.col("_metadata.file_path").alias("stream"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(parser_set).alias("parsers"))
     begun, whole = _versions(spark, table)
     keys = ["file", "size", "modified", "parsers"]
@@ -201,6 +208,8 @@ def ingest_incremental(spark: SparkSession, paths: str | list[str], table: str,
     if files or gone or known is None:
         generation = f"g{uuid.uuid4().hex}"
         parsed.withColumn("generation", F.lit(generation)).write.mode("append").partitionBy("generation", "stream").parquet(f"{table}/lines")
+        if index:
+            write_index(spark, table, generation)
         read = spark.createDataFrame(files, fresh.schema).withColumn("generation", F.lit(generation))
         (read if kept is None else kept.unionByName(read)).coalesce(1).write.parquet(_manifest_at(table, begun + 1))
     return snapshot(spark, table, parsed.schema)
@@ -215,7 +224,11 @@ def vacuum(spark: SparkSession, table: str) -> int:
     live = {r["generation"] for r in spark.read.parquet(_manifest_at(table, version)).select("generation").distinct().collect()}
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
     where, removed = path.getFileSystem(spark._jsc.hadoopConfiguration()), 0
-    names = [f"manifest/v{v:010d}" for v in range(1, version)] + [f"lines/{x.getPath().getName()}" for x in where.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/lines")) if x.isDirectory() and x.getPath().getName().removeprefix("generation=") not in live]
+    names = [f"manifest/v{v:010d}" for v in range(1, version)]
+    for kind in ("lines", "index"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{kind}")
+        found = [x.getPath().getName() for x in where.listStatus(at) if x.isDirectory()] if where.exists(at) else []
+        names += [f"{kind}/{name}" for name in found if name.removeprefix("generation=") not in live]
     for name in names:
         removed += bool(where.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{name}"), True))
     return removed

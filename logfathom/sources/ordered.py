@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +40,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Part:
-    """A range partition: its number, the rows before it, its rows, and the least and greatest value of the first order
-    column with the number of rows that have one."""
+    """A range partition: its number and files, the rows before it, its rows, and the least and greatest value of the first
+    order column with the number of rows that have one."""
 
     number: int
+    files: tuple[str, ...]
     before: int
     rows: int
     low: object
@@ -52,8 +54,8 @@ class Part:
 
 @dataclass(frozen=True)
 class Ordered:
-    """A table in ascending order, nulls first, in a folder for each range partition. parts is what its manifest has, one
-    small row a partition."""
+    """A table in ascending order, nulls first, in files of its own for each range partition. parts is what its manifest has,
+    one small row a partition."""
 
     spark: SparkSession
     path: str
@@ -67,10 +69,14 @@ class Ordered:
 
     def read(self, parts: Sequence[Part]) -> DataFrame:
         """The rows of some partitions, with ``__part`` and ``row``, their place in the whole order."""
-        schema = T.StructType([*self.schema.fields, T.StructField(_ROW, T.LongType()), T.StructField("__part", T.IntegerType())])
+        schema = T.StructType([*self.schema.fields, T.StructField(_ROW, T.LongType())])
         if not parts:
-            return self.spark.createDataFrame([], schema).withColumn("row", F.col(_ROW)).drop(_ROW)
-        files = self.spark.read.schema(schema).option("basePath", self.path).parquet(*[f"{self.path}/__part={p.number}" for p in parts])
+            files = self.spark.createDataFrame([], schema)
+        elif len(parts) == len(self.parts):
+            files = self.spark.read.schema(schema).parquet(self.path)
+        else:
+            files = self.spark.read.schema(schema).parquet(*[f for p in parts for f in p.files])
+        files = files.withColumn("__part", F.shiftright(_ROW, 33).cast("int"))
         if len(parts) == 1:
             before = F.lit(parts[0].before)
         else:
@@ -106,12 +112,13 @@ def in_order(df: DataFrame, order: Sequence[str], label: str = "ordered", parts:
     spark, order = df.sparkSession, list(order)
     n, path = parts or int(spark.conf.get("spark.sql.shuffle.partitions")), scratch(df.sparkSession, label)
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(_ROW, F.monotonically_increasing_id())
-    dealt.withColumn("__part", F.shiftright(_ROW, 33).cast("int")).write.partitionBy("__part").parquet(path)
-    schema = T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType())])
-    found = spark.read.schema(schema).parquet(path).groupBy("__part").agg(F.count("*").alias("n"), F.min(order[0]).alias("low"), F.max(order[0]).alias("high"), F.count(order[0]).alias("valued")).orderBy("__part").collect()
+    dealt.write.parquet(path)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(_ROW, T.LongType())])).parquet(path)
+    by_part = rows.groupBy(F.shiftright(_ROW, 33).cast("int").alias("part")).agg(F.collect_set("_metadata.file_path").alias("files"), F.count("*").alias("n"), F.min(order[0]).alias("low"), F.max(order[0]).alias("high"), F.count(order[0]).alias("valued"))
+    found = by_part.orderBy("part").collect()
     made, before = [], 0
     for r in found:
-        made.append(Part(r["__part"], before, r["n"], r["low"], r["high"], r["valued"]))
+        made.append(Part(r["part"], tuple(map(unquote, r["files"])), before, r["n"], r["low"], r["high"], r["valued"]))
         before += r["n"]
     return Ordered(spark, path, df.schema, tuple(order), tuple(made))
 

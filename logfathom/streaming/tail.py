@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,13 +24,28 @@ MOST_RULES, MOST_THRESHOLD, MOST_WINDOW, SAMPLE_CHARS = 50, 1_000_000, 86400, 30
 
 def read_lines_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
     """stream, line_no, text of new segment files of a folder. A segment is complete when it appears (bytes appended to a
-    known file are not read again); its lines are numbered from 0."""
-    reader = spark.readStream.option("wholetext", True)
+    known file are not read again). Segments are read line by line, in splits if they are large; lines are numbered from the
+    first byte of their split on, so from 0 without gaps in a segment of one split, and in any case in their order."""
+    reader = spark.readStream.option("lineSep", "\n")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    files = reader.text(folder).select(F.col("_metadata.file_path").alias("stream"), F.regexp_replace("value", r"\n\z", "").alias("value"), (F.length("value") > 0).alias("some"))
-    lines = files.filter("some").select("stream", F.posexplode(F.split("value", "\n", -1)).alias("line_no", "text"))
-    return lines.select("stream", F.col("line_no").cast("long").alias("line_no"), clean_line(F.col("text")).alias("text"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, next_ = None, 0
+        for batch in batches:
+            paths, blocks = batch.column("stream").dictionary_encode(), batch.column("block").to_numpy()
+            of, numbers = paths.indices.to_numpy(), np.empty(batch.num_rows, np.int64)
+            starts = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (blocks[1:] != blocks[:-1])))) if len(of) else []
+            for a, b in zip(starts, [*starts[1:], len(of)], strict=True):
+                split = (paths.dictionary[int(of[a])].as_py(), int(blocks[a]))
+                if split != last:
+                    last, next_ = split, split[1]
+                numbers[a:b] = np.arange(next_, next_ + b - a)
+                next_ += int(b - a)
+            yield pa.RecordBatch.from_arrays([batch.column("stream"), pa.array(numbers), batch.column("text")], names=["stream", "line_no", "text"])
+
+    lines = reader.text(folder).select(F.col("_metadata.file_path").alias("stream"), F.col("_metadata.file_block_start").alias("block"), clean_line(F.col("value")).alias("text"))
+    return lines.mapInArrow(number, "stream string, line_no long, text string")
 
 
 def tail(stream: DataFrame, pred: Column, format: str, patterns: Sequence[NamedPattern] = (), year: int = 1970) -> DataFrame:
@@ -37,25 +53,49 @@ def tail(stream: DataFrame, pred: Column, format: str, patterns: Sequence[NamedP
     return parse_logs(stream, format, patterns, year).filter(pred)
 
 
-def stream_records(stream: DataFrame) -> DataFrame:
-    """stream, head, span, text of each record that a micro-batch touched, as far as it has come (update mode: the last
-    row of a head is the record). Lines of a stream are to arrive in order of line_no; the state is the open
-    record of each stream, which only its next head closes."""
+def stream_records(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """stream, head, part, span, text, closed: what each micro-batch adds to a record, one row for each record it touches (to
+    be appended; collect_records() puts records together). span and text are of the added lines; closed says that the
+    record is whole, since its next head has come, or no line of its stream for ``idle_ms`` of the clock. part counts a
+    record's rows from 0.
+
+    Lines of a stream are to arrive in order of line_no. The state of a stream is the head of its open record and the number
+    of rows given out for it, so that a record of any length costs as much as its lines. After a silence a continuation
+    line starts a record of its own, as the first line of a stream does.
+    """
 
     def extend(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("line_no")
-        head, texts = state.get if state.exists else (-1, "[]")
-        texts, touched = json.loads(texts), {}
-        for number, text, starts in zip(rows["line_no"], rows["text"], rows["starts"], strict=True):
-            if starts or head < 0:
-                head, texts = int(number), []
-            texts.append(text)
-            touched[head] = texts  # one list a head, which later lines go on filling
-        state.update((head, json.dumps(texts)))
-        yield pd.DataFrame({"stream": key[0], "head": list(touched), "span": [len(x) for x in touched.values()], "text": ["\n".join(x) for x in touched.values()]})
-
-    rows = stream.select("stream", "line_no", "text", (~is_continuation(F.col("text"))).alias("starts"))
-    return rows.groupBy("stream").applyInPandasWithState(extend, "stream string, head long, span int, text string", "head long, texts string", "update", GroupStateTimeout.NoTimeout)
+        head, part = state.get if state.exists else (-1, 0)
+        out: list[tuple[int, int, int, str | None, bool]] = []
+        if state.hasTimedOut:
+            out.append((head, part, 0, None, True))
+            state.remove()
+        else:
+            rows, texts = pd.concat(list(parts)).sort_values("line_no"), []
+            for number, text, starts in zip(rows["line_no"], rows["text"], rows["starts"], strict=True):
+                if starts or head < 0:
+                    if head >= 0:
+                        out.append((head, part, len(texts), "\n".join(texts) if texts else None, True))
+                    head, part, texts = int(number), 0, []
+                texts.append(text or "")
+            if texts:
+                out.append((head, part, len(texts), "\n".join(texts), False))
+                part += 1
+            state.update((head, part))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame([(key[0], *x) for x in out], columns=["stream", "head", "part", "span", "text", "closed"])
+
+    rows = stream.select("stream", "line_no", "text", (~is_continuation(F.coalesce("text", F.lit("")))).alias("starts"))
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("stream").applyInPandasWithState(extend, "stream string, head long, part int, span int, text string, closed boolean", "head long, part int", "append", timeout)
+
+
+def collect_records(pieces: DataFrame) -> DataFrame:
+    """stream, head, span, text, closed of each record, from the rows that stream_records() has given so far."""
+    texts = F.array_sort(F.collect_list(F.when(F.col("span") > 0, F.struct("part", "text"))))
+    got = pieces.groupBy("stream", "head").agg(F.sum("span").cast("int").alias("span"), F.array_join(F.transform(texts, lambda x: x["text"]), "\n").alias("text"), F.max("closed").alias("closed"))
+    return got.select("stream", "head", "span", "text", "closed")
 
 
 @dataclass(frozen=True)

@@ -5,8 +5,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from logfathom.functions import predicates as P
 from logfathom.operators import parsing as X
 from logfathom.sources import files as S
+from logfathom.sources import index as I
 
 
 @pytest.fixture
@@ -86,3 +88,31 @@ def test_all_files_empty(spark, tmp_path):
     assert got.count() == 0 and {"stream", "line_no", "text", "ts", "level"} <= set(got.columns)
     change(folder / "a.log", "x\n", 1)
     assert ingest(spark, folder, tmp_path / "store").select(F.col("text")).collect()[0][0] == "x"
+
+
+def test_index_is_kept_up(spark, tmp_path):
+    """Searches of the index find what a scan finds, in few of the files, through all rounds of a table."""
+    folder, store = tmp_path / "logs", str(tmp_path / "store")
+    folder.mkdir()
+    for i in range(60):
+        (folder / f"{i:02}.log").write_text("".join(f"user_{i * 10 + j} did Café-work {j}\n" for j in range(10)) + ("needle42 in Größe\n" if i == 17 else ""))
+    terms = [("needle4", False), ("needle42", True), ("needle4", True), ("cafe", False), ("user_17", False), ("did café work", True), ("work 7", False), ("grosse", False), ("größe", True), ("nowhere", False), ("!!", False), ("x" * 80, False)]
+
+    def agree():
+        table = S.snapshot(spark, store)
+        for value, whole in terms:
+            want = texts(table.filter(P.phrase(value) if whole else P.term(value)))
+            assert texts(I.indexed_search(spark, store, value, whole)) == want, value
+
+    S.ingest_incremental(spark, f"{folder}/*.log", store, X.parse_raw, "raw", index=True)
+    agree()
+    files = S.snapshot(spark, store).select("stream").distinct().count()
+    assert len(I.candidate_files(spark, store, "needle42")) == 1 <= 0.05 * files
+    (folder / "17.log").unlink()
+    change(folder / "03.log", "needle43 here\n", 1)
+    change(folder / "99.log", "y" * 70 + " " + "x" * 90 + "\n", 2)
+    S.ingest_incremental(spark, f"{folder}/*.log", store, X.parse_raw, "raw", index=True)
+    agree()
+    assert texts(I.indexed_search(spark, store, "needle4")) == ["needle43 here"] and len(texts(I.indexed_search(spark, store, "x" * 80))) == 1
+    S.vacuum(spark, store)
+    agree()

@@ -394,10 +394,62 @@ def test_rotation_names(spark):
 def test_records_over_batches(spark, tmp_path):
     """Long records that go on in the next batch."""
     schema, folder = "stream string, line_no long, text string", str(tmp_path / "in")
-    lines = [("a", i, ("  at x" if i % 400 else "head")) for i in range(1200)]
+    lines = [("a", i, (f"  at {i}" if i % 400 else f"head {i}")) for i in range(1200)]
     for a, b in ((0, 407), (407, 1200)):
         spark.createDataFrame(lines[a:b], schema).coalesce(1).write.mode("append").parquet(folder)
         time.sleep(0.05)
-    got = W.run_available(W.stream_records(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)), "update")
-    last = {r.head: r.span for r in got.groupBy("head").agg(F.max_by("span", "batch").alias("span")).collect()}
-    assert last == {0: 400, 400: 400, 800: 400}
+    pieces = W.run_available(W.stream_records(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)), "append")
+    got = {r.head: r for r in W.collect_records(pieces).collect()}
+    assert {h: r.span for h, r in got.items()} == {0: 400, 400: 400, 800: 400} and {h: r.closed for h, r in got.items()} == {0: True, 400: True, 800: False}
+    assert all(r.text == "\n".join(x[2] for x in lines[h : h + 400]) for h, r in got.items())
+
+
+def test_a_long_record_costs_its_lines(spark, tmp_path):
+    """One record over many batches: what is given out is as long as its lines, not as the record so far."""
+    schema, folder, n, batches = "stream string, line_no long, text string", str(tmp_path / "in"), 20_000, 10
+    for b in range(batches):
+        rows = spark.range(b * n, (b + 1) * n).select(F.lit("a").alias("stream"), F.col("id").alias("line_no"), F.concat(F.when(F.col("id") == 0, "head ").otherwise("  at "), F.col("id")).alias("text"))
+        rows.coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.02)
+    pieces = W.run_available(W.stream_records(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)), "append")
+    rows = sorted((r.part, r.span, len(r.text), r.batch) for r in pieces.collect())
+    assert [r[:2] for r in rows] == [(i, n) for i in range(batches)] and max(r[2] for r in rows) < 15 * n
+    assert one(W.collect_records(pieces)).span == n * batches
+
+
+def test_a_silent_stream_closes(spark, tmp_path):
+    schema, folder, out, state = "stream string, line_no long, text string", tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    spark.createDataFrame([("a", 0, "head"), ("a", 1, "  at x"), ("b", 0, "other")], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = W.stream_records(spark.readStream.schema(schema).parquet(str(folder)), idle_ms=500)
+    query = stream.writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(out)).outputMode("append").option("checkpointLocation", state).trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(100):
+            time.sleep(0.5)
+            if os.path.exists(out) and spark.read.schema(stream.schema).parquet(out).filter("closed").count() == 2:
+                break
+    finally:
+        query.stop()
+    got = {r.stream: (r.head, r.span, r.text, r.closed) for r in W.collect_records(spark.read.parquet(out)).collect()}
+    assert got == {"a": (0, 2, "head\n  at x", True), "b": (0, 1, "other", True)}
+
+
+def test_segments_by_lines(spark, tmp_path):
+    """Segments of several splits: numbers rise through them; those of one split have none missing."""
+    big, small = "".join(f"line {i} {'x' * (i % 50)}\r\n" for i in range(4000)), "one\n\n  three"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "big.log").write_bytes(big.encode())
+    (tmp_path / "in" / "small.log").write_text(small)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("16k", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {}
+            for r in W.run_available(W.read_lines_stream(spark, str(tmp_path / "in")), "append").collect():
+                got.setdefault(r.stream.rsplit("/", 1)[1], []).append((r.line_no, r.text))
+            assert sorted(got["small.log"]) == [(0, "one"), (1, ""), (2, "  three")]
+            numbers = sorted(got["big.log"])
+            assert [t for _, t in numbers] == [x.rstrip("\r") for x in big.split("\n")[:-1]] and len({n for n, _ in numbers}) == 4000
+            assert ([n for n, _ in numbers] == list(range(4000))) == (size == old)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
