@@ -129,14 +129,16 @@ def template_of(c: Column) -> Column:
 
 
 def _accents() -> tuple[str, str]:
-    """Precomposed Latin letters (U+00C0 to U+017F) and their base letters, lower case."""
-    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))) for i in range(0xC0, 0x180)]
-    kept = [(a, b[0].lower()) for a, b in pairs if len(b) > 1 and b[0].isascii()]
-    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+    """Letters that are an ASCII letter with one mark, and these letters in lower case; then the marks themselves, which go.
+    Letters with two marks, and those of other scripts, are letters of their own."""
+    parts = {chr(i): unicodedata.decomposition(chr(i)).split() for i in range(0xC0, 0x1F00)}
+    marked = {c: [chr(int(x, 16)) for x in p] for c, p in parts.items() if len(p) == 2 and not p[0].startswith("<")}
+    kept = {c: p for c, p in marked.items() if p[0].isascii() and p[0].isalpha()}
+    return "".join(kept) + "".join(sorted({mark for _, mark in kept.values()})), "".join(p[0].lower() for p in kept.values())
 
 
 def tokens_of(c: Column) -> Column:
-    """`` t1 t2 ... `` : the tokens (runs of letters and digits) of a line, case-folded, Latin accents folded too."""
+    """`` t1 t2 ... `` : the tokens (runs of letters and digits) of a line, case-folded, Latin letters without their accents."""
     accented, plain = _accents()
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.translate(c, accented, plain)), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
@@ -146,4 +148,5 @@ def folded_tokens(value: str) -> str:
     import regex
 
     accented, plain = _accents()
-    return " ".join(regex.findall(r"[\p{L}\p{N}]+", value.translate(str.maketrans(accented, plain)).lower()))
+    folded = value.translate(str.maketrans(accented[: len(plain)], plain, accented[len(plain) :])).lower()
+    return " ".join(regex.findall(r"[\p{L}\p{N}]+", folded))

@@ -70,13 +70,20 @@ CEIL_100 = "CAST(greatest(ceil(greatest(max(ms) - min(ms), 1) / 100.0), 1) AS BI
 # ---------------------------------------------------------------- sources and sinks
 
 
-@query("s01_read_lines", f"WITH {EVENTS} SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS holes, CAST(sum(k) AS BIGINT) AS k FROM e")
+def _whole(lines: DataFrame) -> DataFrame:
+    """The text of all lines, and how many numbers their stream leaves out."""
+    holes = lines.groupBy("stream").agg((F.max("line_no") + 1 - F.count_distinct("line_no")).alias("holes"))
+    return lines.join(holes, "stream").select("text", "holes")
+
+
+_WHOLE = f"WITH {EVENTS} SELECT text, CAST(0 AS BIGINT) AS holes FROM e"
+
+
+@query("s01_read_lines", _WHOLE)
 def read_lines(spark, sf):
     path = S.scratch(spark, "logs")
     L.typed_lines(spark, sf).select("text").write.text(path)
-    got = S.read_lines(spark, path)
-    holes = got.groupBy("stream").agg((F.max("line_no") + 1 - F.count_distinct("line_no")).alias("h"), F.count("*").alias("n"), F.sum(F.length("text")).alias("c"), F.sum(F.regexp_extract("text", r"k=(\d+)", 1).cast("long")).alias("k"))
-    return holes.agg(F.sum("n").alias("n"), F.sum("c").alias("chars"), F.sum("h").alias("holes"), F.sum("k").alias("k"))
+    return _whole(S.read_lines(spark, path))
 
 
 @query("s02_line_numbers", "SELECT event_type AS stream, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS line_no, CAST(event_id AS VARCHAR) AS text FROM events")
@@ -106,14 +113,14 @@ def rotation_group(spark, sf):
     return S.read_rotation_group(spark, f"{base}/logs").withColumn("stream", F.regexp_extract("stream", r"[^/]+\z", 0))
 
 
-@query("s04_gzip_lines", f"WITH {EVENTS} SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM e")
+@query("s04_gzip_lines", _WHOLE)
 def gzip_lines(spark, sf):
     path = S.scratch(spark, "gz")
     L.typed_lines(spark, sf).select("text").write.option("compression", "gzip").text(path)
-    return S.read_lines(spark, path).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return _whole(S.read_lines(spark, path))
 
 
-@query("s04_gzip_by_content", f"WITH {EVENTS} SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS holes FROM e")
+@query("s04_gzip_by_content", _WHOLE)
 def gzip_by_content(spark, sf):
     """gzip files under names that no codec knows."""
     base = S.scratch(spark, "gz")
@@ -124,8 +131,7 @@ def gzip_by_content(spark, sf):
     for i, one in enumerate(files.listStatus(path(f"{base}/parts"))):
         if one.getPath().getName().startswith("part-"):
             files.rename(one.getPath(), path(f"{base}/logs/app{i}.gzip"))
-    got = S.read_packed_lines(spark, f"{base}/logs").groupBy("stream").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"), (F.max("line_no") + 1 - F.count_distinct("line_no")).alias("h"))
-    return got.agg(F.sum("n").alias("n"), F.sum("c").alias("chars"), F.sum("h").alias("holes"))
+    return _whole(S.read_packed_lines(spark, f"{base}/logs"))
 
 
 @query("s05_from_table", "SELECT lang AS stream, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS line_no, md5(text) AS text FROM documents")
@@ -174,9 +180,9 @@ def _parsed(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select("line_no", _ms().alias("ms"), "level", "message", *[F.col("fields")[c].alias(c.replace(".", "_").replace("[", "_").replace("]", "")) for c in fields], "starts_record")
 
 
-@query("p01_parse_json", f"WITH {EVENTS} SELECT event_id AS line_no, ms, level, CAST(NULL AS VARCHAR) AS message, event, CAST(user_id AS VARCHAR) AS user_id, usr AS user_name, CAST(k AS VARCHAR) AS props_k, event AS tags_1, true AS starts_record FROM e")
+@query("p01_parse_json", f"WITH {EVENTS} SELECT event_id AS line_no, ms, level, CAST(NULL AS VARCHAR) AS message, event, CAST(user_id AS VARCHAR) AS user_id, usr AS user_name, CAST(k AS VARCHAR) AS props_k, 'a' AS tags_0, event AS tags_1, CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS value, true AS starts_record FROM e")
 def parse_json(spark, sf):
-    return _parsed(X.parse_json(L.json_log(spark, sf)), ["event", "user.id", "user.name", "props.k", "tags[1]"])
+    return _parsed(X.parse_json(L.json_log(spark, sf)), ["event", "user.id", "user.name", "props.k", "tags[0]", "tags[1]", "value"])
 
 
 @query("p01_parse_json_keys", f"WITH {EVENTS} SELECT event_id AS line_no, ms, level, CAST(NULL AS VARCHAR) AS message, event, CAST(user_id AS VARCHAR) AS user_id, CAST(k AS VARCHAR) AS props_k, true AS starts_record FROM e")
@@ -252,10 +258,9 @@ def _many_formats(spark, sf) -> DataFrame:
 
 
 @query("p11_parse_logs", f"""WITH {EVENTS}, f AS (SELECT * FROM (VALUES ('app','timestamped'), ('bracketed','bracketed'), ('access','access'), ('syslog','syslog'), ('python','python'), ('json','json'), ('logfmt','logfmt')) v(stream, format))
-SELECT f.stream, format, CASE WHEN f.stream IN ('access', 'syslog') THEN NULL ELSE level END AS level, count(*) AS n, CAST(coalesce(sum(CASE WHEN f.stream = 'python' THEN NULL WHEN f.stream IN ('access', 'syslog') THEN ms // 1000 * 1000 ELSE ms END), 0) AS BIGINT) AS ms FROM e, f GROUP BY ALL""")
+SELECT f.stream, format, event_id AS line_no, CASE WHEN f.stream IN ('access', 'syslog') THEN NULL ELSE level END AS level, CASE WHEN f.stream = 'python' THEN NULL WHEN f.stream IN ('access', 'syslog') THEN ms // 1000 * 1000 ELSE ms END AS ms FROM e, f""")
 def parse_logs(spark, sf):
-    got = X.parse_logs(_many_formats(spark, sf), year=L.YEAR)
-    return got.groupBy("stream", "format", "level").agg(F.count("*").alias("n"), F.coalesce(F.sum(_ms()), F.lit(0)).alias("ms"))
+    return X.parse_logs(_many_formats(spark, sf), year=L.YEAR).select("stream", "format", "line_no", "level", _ms().alias("ms"))
 
 
 @query("p12_detect_format", "SELECT * FROM (VALUES ('app','timestamped',1.0::DOUBLE), ('bracketed','bracketed',1.0), ('access','access',1.0), ('syslog','syslog',1.0), ('python','python',1.0), ('json','json',1.0), ('logfmt','logfmt',1.0)) v(stream, format, score)")
@@ -263,9 +268,17 @@ def detect_format(spark, sf):
     return X.detect_format(_many_formats(spark, sf))
 
 
-@query("p13_normalize_level", "SELECT event_type, CASE event_type WHEN 'error' THEN 'ERROR' END AS level, count(*) AS n FROM events GROUP BY ALL")
+_SPELLED = [
+    ("trc", "TRACE"), ("Verbose", "TRACE"), ("FINEST", "TRACE"), ("dbg", "DEBUG"), (" fine ", "DEBUG"), ("info", "INFO"), ("Informational", "INFO"), ("notice", "INFO"), ("wrn", "WARN"), ("WARNING", "WARN"),
+    ("err", "ERROR"), ("Severe", "ERROR"), ("failure", "ERROR"), ("crit", "FATAL"), ("emerg", "FATAL"), ("panic", "FATAL"), ("Alert", "FATAL"), ("warned", None), ("", None), ("E", None), (None, None),
+]
+_QUOTED = lambda x: "NULL" if x is None else f"'{x}'"
+
+
+@query("p13_normalize_level", f"SELECT event_id, spelled, level FROM events JOIN (VALUES {', '.join(f'({i}, {_QUOTED(a)}, {_QUOTED(b)})' for i, (a, b) in enumerate(_SPELLED))}) v(i, spelled, level) ON event_id % {len(_SPELLED)} = i")
 def levels(spark, sf):
-    return L.table(spark, sf, "events").groupBy("event_type", normalize_level(F.concat(F.lit(" "), F.initcap("event_type"))).alias("level")).agg(F.count("*").alias("n"))
+    spelled = F.array(*[F.lit(a) for a, _ in _SPELLED])[(F.col("event_id") % len(_SPELLED)).cast("int")]
+    return L.table(spark, sf, "events").select("event_id", spelled.alias("spelled"), normalize_level(spelled).alias("level"))
 
 
 @query("p14_parse_timestamp", f"WITH {EVENTS} SELECT event_id, ms AS iso, ms AS zoned, ms // 1000 * 1000 AS clf, ms // 1000 * 1000 AS seconds, ms AS millis, ms // 1000 * 1000 AS syslog FROM e")
@@ -284,10 +297,11 @@ def continuations(spark, sf):
     return L.document_lines(spark, sf).groupBy("stream").agg(F.count_if(~F.col("is_head")).alias("continuations"), F.count("*").alias("n"))
 
 
-@query("p16_to_num", "SELECT event_id, value AS num, CAST(NULL AS DOUBLE) AS unit, CAST(NULL AS DOUBLE) AS word FROM events")
+@query("p16_to_num", """SELECT event_id, CASE event_id % 9 WHEN 0 THEN value WHEN 1 THEN -value WHEN 2 THEN CAST(value || 'e2' AS DOUBLE) WHEN 3 THEN CAST(user_id AS DOUBLE) WHEN 4 THEN CAST(user_id || 'E-3' AS DOUBLE) END AS num FROM events""")
 def numbers(spark, sf):
     e = L.events(spark, sf)
-    return e.select("event_id", to_num(e.value).alias("num"), to_num(F.concat(e.value, F.lit("d"))).alias("unit"), to_num(e.event).alias("word"))
+    forms = [e.value, F.concat(F.lit("-"), e.value), F.concat(e.value, F.lit("e2")), F.col("user_id").cast("string"), F.concat(F.col("user_id"), F.lit("E-3")), F.concat(F.lit(" "), e.value), F.concat(e.value, F.lit("ms")), F.concat(F.lit("+"), e.value), F.lit("NaN")]
+    return e.select("event_id", to_num(F.array(*forms)[(F.col("event_id") % len(forms)).cast("int")]).alias("num"))
 
 
 # ---------------------------------------------------------------- records
@@ -303,11 +317,15 @@ def records(spark, sf):
     return R.records(L.document_lines(spark, sf)).select("stream", "head", "span", F.md5("text").alias("text"))
 
 
+_LEVEL_OF_LINE = r"""CASE upper(regexp_extract(h.text, '(?i)\b(TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|ERR|FATAL|CRITICAL|SEVERE|NOTICE)\b', 1)) WHEN 'TRACE' THEN 'TRACE' WHEN 'DEBUG' THEN 'DEBUG' WHEN 'INFO' THEN 'INFO' WHEN 'NOTICE' THEN 'INFO'
+  WHEN 'WARN' THEN 'WARN' WHEN 'WARNING' THEN 'WARN' WHEN 'ERROR' THEN 'ERROR' WHEN 'ERR' THEN 'ERROR' WHEN 'SEVERE' THEN 'ERROR' WHEN 'FATAL' THEN 'FATAL' WHEN 'CRITICAL' THEN 'FATAL' END"""
+
+
 @query("r03_record_detail", f"""WITH {RECORDS}, rec AS (SELECT stream, head, count(*) AS span, string_agg(text, chr(10) ORDER BY line_no) AS record FROM h GROUP BY ALL)
-SELECT h.stream, h.line_no, h.text AS raw, CASE WHEN h.head = h.line_no AND span > 1 THEN record END AS record FROM h JOIN rec USING (stream, head) WHERE h.line_no IN (0, 2)""")
+SELECT h.stream, h.line_no, {_LEVEL_OF_LINE} AS level, CAST(NULL AS BIGINT) AS n_fields, h.text AS raw, CASE WHEN h.head = h.line_no AND span > 1 THEN record END AS record FROM h JOIN rec USING (stream, head) WHERE h.line_no IN (0, 2)""")
 def record_detail(spark, sf):
     lines = L.document_lines(spark, sf)
-    return R.record_detail(lines, lines.filter(F.col("line_no").isin(0, 2))).select("stream", "line_no", "raw", "record")
+    return R.record_detail(lines, lines.filter(F.col("line_no").isin(0, 2))).select("stream", "line_no", "level", F.when(F.col("fields").isNotNull(), F.size("fields")).cast("long").alias("n_fields"), "raw", "record")
 
 
 @query("r04_grouped", f"WITH {RECORDS} SELECT stream, head, CAST(count(*) AS INTEGER) AS span FROM h GROUP BY ALL HAVING bool_or(regexp_matches(text, '(?i)license'))")
@@ -667,10 +685,10 @@ def seek_result(spark, sf):
 # ---------------------------------------------------------------- streaming
 
 
-def _segments(spark, sf) -> str:
-    """The app log of the events as text segments in a fresh folder."""
+def _segments(spark, sf, log=L.app_log) -> str:
+    """The app log of the events, or another, as text segments in a fresh folder."""
     path = S.scratch(spark, "segments")
-    L.app_log(spark, sf).select("text").write.text(path)
+    log(spark, sf).select("text").write.text(path)
     return path
 
 
@@ -681,16 +699,15 @@ def _tailed(spark, sf) -> DataFrame:
     return W.tail(W.read_lines_stream(spark, _segments(spark, sf)), P.match_all(), "timestamped")
 
 
-@query("x01_read_lines_stream", f"WITH {EVENTS} SELECT count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM e")
+@query("x01_read_lines_stream", _WHOLE)
 def lines_stream(spark, sf):
-    got = W.run_available(W.read_lines_stream(spark, _segments(spark, sf)), "append")
-    return got.agg(F.count("*").alias("n"), F.sum(F.regexp_extract("text", r"k=(\d+)", 1).cast("long")).alias("k"))
+    return _whole(W.run_available(W.read_lines_stream(spark, _segments(spark, sf, L.typed_lines)), "append"))
 
 
-@query("x02_tail", f"WITH {EVENTS} SELECT ms, level, event || ' k=' || k || ' took ' || value || 'ms' AS message FROM e WHERE level = 'ERROR' AND k > 50")
+@query("x02_tail", f"WITH {EVENTS} SELECT ms, level, 'user.' || usr AS logger, event || ' k=' || k || ' took ' || value || 'ms' AS message FROM e WHERE level = 'ERROR' AND k > 50")
 def tail(spark, sf):
     pred = P.level_cmp("eq", "ERROR") & P.capture_cmp(_DUR, "gt", 50)
-    return W.run_available(W.tail(W.read_lines_stream(spark, _segments(spark, sf)), pred, "timestamped"), "append").select(_ms().alias("ms"), "level", "message")
+    return W.run_available(W.tail(W.read_lines_stream(spark, _segments(spark, sf)), pred, "timestamped"), "append").select(_ms().alias("ms"), "level", F.col("fields")["logger"].alias("logger"), "message")
 
 
 @query("x03_stream_records", f"WITH {RECORDS} SELECT stream, head, CAST(count(*) AS INTEGER) AS span, md5(string_agg(text, chr(10) ORDER BY line_no)) AS text FROM h GROUP BY stream, head")
@@ -726,12 +743,12 @@ def live_histogram(spark, sf):
     return got.groupBy(_ms("start").alias("start_ms"), "level").agg(F.max_by("n", "batch").alias("n"))
 
 
-@query("x07_live_merge", f"WITH {EVENTS} SELECT source, count(*) AS n, min(ms) AS first_ms, max(ms) AS last_ms, CAST(sum(ms) AS BIGINT) AS all_ms FROM e, (VALUES ('a'), ('b')) v(source) WHERE source = 'a' OR level = 'ERROR' GROUP BY ALL")
+@query("x07_live_merge", f"WITH {EVENTS} SELECT source, ms, level, event || ' k=' || k || ' took ' || value || 'ms' AS message FROM e, (VALUES ('a'), ('b')) v(source) WHERE source = 'a' OR level = 'ERROR'")
 def live_merge(spark, sf):
     path = _segments(spark, sf)
     a = W.tail(W.read_lines_stream(spark, path), P.match_all(), "timestamped")
     b = W.tail(W.read_lines_stream(spark, path), P.level_cmp("eq", "ERROR"), "timestamped")
-    return W.run_available(W.live_merge({"a": a, "b": b}), "append").groupBy("source").agg(F.count("*").alias("n"), F.min(_ms()).alias("first_ms"), F.max(_ms()).alias("last_ms"), F.sum(_ms()).alias("all_ms"))
+    return W.run_available(W.live_merge({"a": a, "b": b}), "append").select("source", _ms().alias("ms"), "level", "message")
 
 
 @query("x08_live_templates", f"WITH {EVENTS} SELECT '<*> [' || level || '] <*> - ' || event || ' <*> took <*>' AS template, count(*) AS n FROM e GROUP BY ALL")

@@ -181,6 +181,13 @@ def test_terms(spark):
     assert (n(P.phrase("connection failed")), n(P.term("connection"))) == (1, 2)
 
 
+def test_accents(spark):
+    """Folded as a full-text index folds them: one mark on a Latin letter, precomposed or not; not two, not other scripts."""
+    lines = raw(spark, ["Đà Nẵng phở", "ca\u0301fe\u0323 x", "ǎ ẏ ạ", "ộ", "ά", "αλφα"])
+    n = lambda value, whole=True: lines.filter((P.phrase if whole else P.term)(value)).count()
+    assert [n("a y a"), n("ạ Ẏ ǎ"), n("cafe x"), n("café x"), n("o"), n("ộ"), n("α"), n("ά"), n("Ά"), n("nang"), n("αλ", False)] == [1, 1, 1, 1, 0, 1, 0, 1, 1, 0, 1]
+
+
 def test_captures(spark):
     lines = raw(spark, ["k=5 user_id=a", "none"])
     get = lambda c: [r[0] for r in lines.orderBy("line_no").select(c).collect()]
