@@ -135,9 +135,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     class_id is its own doc_id and class_key is null. A text of 1 to 4 words is a single shingle. Repeated rows are
     copies of each other. Extra columns are ignored; an empty table gives no rows.
 
-    A leader's bucket is dealt over tasks by ``block`` members. What leaders leave over goes to tasks by cluster of buckets, if
-    that has about ``block`` nodes and ``block_bytes`` bytes of text at most, else by bucket, and a bucket of more than that by
-    pairs of blocks, so that no task holds a whole group.
+    A leader's bucket is dealt over tasks by ``block`` members. What leaders leave over goes to tasks by cluster of buckets or
+    by bucket, whichever takes fewer rows; of more than about ``block`` nodes or ``block_bytes`` bytes of text pairs of blocks
+    go, so that no task holds a whole group.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,16 +231,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
         clusters = components(placed.select("u", F.col("node").alias("v")))
         status = placed.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("leader_root")).alias("outside"))
         status = stage(status.join(clusters.withColumnRenamed("root", "cluster"), "node").join(texts.select("node", "bytes"), "node"), "clusters")
-        # A cluster of one block is compared as a whole. In a larger one each bucket is, so that a node goes to the buckets it
-        # is in, at most one for each band, however large the cluster; a bucket of several blocks goes by pairs of blocks.
+        # A cluster goes to tasks as a whole, by pairs of its blocks if it has several, or else by its buckets, whichever takes
+        # fewer rows. By buckets a node goes to those it is in, one for each band at most, however large the cluster.
         blocks = lambda rows, size: F.ceil(F.greatest(rows / block, size / block_bytes))
-        large = status.groupBy("cluster").agg(blocks(F.count("*"), F.sum("bytes")).alias("n")).filter("n > 1").select("cluster")
+
+        def sized_by(rows: DataFrame, *keys: str) -> DataFrame:
+            """The blocks of all and of outside nodes, and the rows that dealing them out takes."""
+            out = F.coalesce(blocks(F.count_if("outside"), F.sum(F.when(F.col("outside"), F.col("bytes")))), F.lit(0))
+            sizes = rows.groupBy(*keys).agg(blocks(F.count("*"), F.sum("bytes")).alias("all_blocks"), out.alias("out_blocks"), F.count("*").alias("n"), F.count_if("outside").alias("n_out"))
+            return sizes.withColumn("cost", F.col("n") * F.col("out_blocks") + F.col("n_out") * F.col("all_blocks"))
+
+        in_buckets = stage(placed.select(F.col("band").alias("unit"), "node", (F.col("root") != F.col("leader_root")).alias("outside"), F.col("root").alias("own_root")).join(status.select("node", "cluster", "bytes"), "node"), "in-buckets")
+        by_bucket = sized_by(in_buckets, "cluster", "unit").groupBy("cluster").agg(F.sum("cost").alias("by_bucket"))
+        large = stage(sized_by(status, "cluster").join(by_bucket, "cluster").filter("all_blocks > 1 and by_bucket < cost").select("cluster"), "large-clusters")
         whole = status.join(large, "cluster", "left_anti").select(F.lit("cluster").alias("kind"), F.col("cluster").alias("unit"), "node", "root", "outside", "bytes")
-        inside = status.join(large, "cluster", "left_semi").select("node", "bytes")
-        parts = placed.join(inside, "node").select(F.lit("bucket").alias("kind"), F.col("band").alias("unit"), "node", "root", (F.col("root") != F.col("leader_root")).alias("outside"), "bytes")
+        parts = in_buckets.join(large, "cluster", "left_semi").select(F.lit("bucket").alias("kind"), "unit", "node", F.col("own_root").alias("root"), "outside", "bytes")
         units = stage(whole.union(parts), "units")
         unit = ["kind", "unit"]
-        sizes = units.groupBy(*unit).agg(blocks(F.count("*"), F.sum("bytes")).alias("all_blocks"), F.coalesce(blocks(F.count_if("outside"), F.sum(F.when(F.col("outside"), F.col("bytes")))), F.lit(0)).alias("out_blocks"))
+        sizes = sized_by(units, *unit).select(*unit, "all_blocks", "out_blocks")
         # The numbers of units with several blocks go to salted parts of the unit, so that none is one task's.
         several = sizes.filter("all_blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
         salted = units.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(_SALTS)).cast("long")).join(several, [*unit, "salt"], "left")

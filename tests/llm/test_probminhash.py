@@ -3,7 +3,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from logfathom.llm import probminhash as module
 from logfathom.llm._words import text_bytes
 from logfathom.llm.components import components
 from logfathom.llm.probminhash import near_duplicates, one_of_each, shingles, signatures, similarity
@@ -89,6 +91,34 @@ def test_components(spark):
     for a, b in edges:
         if a != b:
             root[max(find(a), find(b))] = min(find(a), find(b))
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {x: find(x) for x in root}
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    for few in (0, 20_000):
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), few=few).collect()}
+        assert got == {x: find(x) for x in root}
+        assert components(spark.createDataFrame([], "u long, v long"), few=few).count() == 0
+
+
+@pytest.mark.parametrize("block", [12, 100_000])
+def test_a_growing_family(spark, prose, monkeypatch, block):
+    """Edits of one text of which few are alike: classes are those of all links, and the nodes that go to tasks stay within
+    the bands of each, however many edits there are."""
+    counts = {}
+    kept = module.stage
+
+    def counting(df, label):
+        out = kept(df, label)
+        if label == "units":
+            counts[len(items)] = out.count()
+        return out
+
+    monkeypatch.setattr(module, "stage", counting)
+    base = prose(90, 21).split()
+    for n in (50, 100):
+        rng, items = random.Random(n), []
+        for i in range(n):
+            words = list(base)
+            for _ in range(rng.randint(1, 7)):
+                words[rng.randrange(90)] = f"edit{rng.randrange(9)}"
+            items.append((i, " ".join(words)))
+        df = spark.createDataFrame(items, "doc_id long, text string")
+        assert sorted(((r.doc_id, r.class_id) for r in near_duplicates(df, block=block).collect()), key=str) == classes(items)
+    assert all(c <= 25 * n for n, c in counts.items()) and counts[100] <= 4 * counts[50]
