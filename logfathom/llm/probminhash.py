@@ -222,15 +222,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     roots = stage(components(links), "components")
 
     # Buckets that still hold several components: in each the nodes outside its leader's component are compared with all of
-    # its nodes. Buckets whose nodes fall into one small cluster (linked through bucket leaders) are done together.
+    # its nodes. Buckets whose nodes fall into one small cluster (linked through the components of bucket leaders) are done together.
     placed = members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = stage(placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band"), "mixed-buckets")
     leader_of = leaders.join(roots, leaders.u == roots.node, "left").select("band", "u", F.coalesce("root", "u").alias("leader_root"))
     placed = stage(placed.join(mixed, "band").join(leader_of, "band"), "mixed")
     if not placed.isEmpty():
-        clusters = components(placed.select("u", F.col("node").alias("v")))
+        clusters = components(placed.select(F.col("leader_root").alias("u"), F.col("root").alias("v")))  # of components: far fewer links than nodes have
         status = placed.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("leader_root")).alias("outside"))
-        status = stage(status.join(clusters.withColumnRenamed("root", "cluster"), "node").join(texts.select("node", "bytes"), "node"), "clusters")
+        status = stage(status.join(clusters.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root").join(texts.select("node", "bytes"), "node"), "clusters")
         # A cluster goes to tasks as a whole, by pairs of its blocks if it has several, or else by its buckets, whichever takes
         # fewer rows. By buckets a node goes to those it is in, one for each band at most, however large the cluster.
         blocks = lambda rows, size: F.ceil(F.greatest(rows / block, size / block_bytes))
