@@ -11,7 +11,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -22,10 +22,11 @@ from logfathom.sources.files import clean_line, scratch
 MOST_RULES, MOST_THRESHOLD, MOST_WINDOW, SAMPLE_CHARS = 50, 1_000_000, 86400, 300
 
 
-def read_lines_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+def read_lines_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None, blocks: bool = False) -> DataFrame:
     """stream, line_no, text of new segment files of a folder. A segment is complete when it appears (bytes appended to a
     known file are not read again). Segments are read line by line, in splits if they are large; lines are numbered from the
-    first byte of their split on, so from 0 without gaps in a segment of one split, and in any case in their order."""
+    first byte of their split on, so from 0 without gaps in a segment of one split, and in any case in their order. With
+    blocks, that byte too, from which dense_numbers() closes the gaps."""
     reader = spark.readStream.option("lineSep", "\n")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -42,10 +43,21 @@ def read_lines_stream(spark: SparkSession, folder: str, files_per_trigger: int |
                     last, next_ = split, split[1]
                 numbers[a:b] = np.arange(next_, next_ + b - a)
                 next_ += int(b - a)
-            yield pa.RecordBatch.from_arrays([batch.column("stream"), pa.array(numbers), batch.column("text")], names=["stream", "line_no", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("stream"), pa.array(numbers), batch.column("text"), batch.column("block")], names=["stream", "line_no", "text", "block"])
 
     lines = reader.text(folder).select(F.col("_metadata.file_path").alias("stream"), F.col("_metadata.file_block_start").alias("block"), clean_line(F.col("value")).alias("text"))
-    return lines.mapInArrow(number, "stream string, line_no long, text string")
+    numbered = lines.mapInArrow(number, "stream string, line_no long, text string, block long")
+    return numbered if blocks else numbered.drop("block")
+
+
+def dense_numbers(batch: DataFrame) -> DataFrame:
+    """A micro-batch of read_lines_stream() with blocks, its lines numbered from 0 without gaps in each segment: by their
+    place in their split and the lines of the splits before it, one row a split. For foreachBatch(); a segment's splits all
+    come in one micro-batch."""
+    counts = batch.groupBy("stream", "block").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("stream").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("stream", "block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("block")).alias("__add"))
+    return batch.join(starts, ["stream", "block"]).select("stream", (F.col("line_no") + F.col("__add")).alias("line_no"), "text")
 
 
 def tail(stream: DataFrame, pred: Column, format: str, patterns: Sequence[NamedPattern] = (), year: int = 1970) -> DataFrame:

@@ -462,3 +462,23 @@ def test_segments_by_lines(spark, tmp_path):
             assert ([n for n, _ in numbers] == list(range(4000))) == (size == old)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_segments_of_many_splits_are_numbered_without_gaps(spark, tmp_path):
+    """Each split's lines go on from those of the splits before it, also where a line is longer than a split."""
+    lines = {"a.log": [f"line {i} {'x' * (i % 50)}" for i in range(4000)], "b.log": ["one", "y" * 50_000, "", *[f"{i}" for i in range(9000)]]}
+    (tmp_path / "in").mkdir()
+    for name, texts in lines.items():
+        (tmp_path / "in" / name).write_text("\n".join(texts))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        got = {}
+        for r in W.run_available(W.read_lines_stream(spark, str(tmp_path / "in"), blocks=True), "append", W.dense_numbers).collect():
+            got.setdefault(r.stream.rsplit("/", 1)[1], []).append((r.line_no, r.text))
+        assert {name: sorted(rows) for name, rows in got.items()} == {name: list(enumerate(texts)) for name, texts in lines.items()}
+        from logfathom.plans.queries import QUERIES
+
+        assert QUERIES["x01_read_lines_stream"](spark, "/root/testdata/sf0.01").select("holes").distinct().collect() == [(0,)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
