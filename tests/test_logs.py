@@ -2,6 +2,7 @@
 
 import gzip
 import os
+import re
 import time
 from datetime import datetime, timedelta
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from logfathom.functions import predicates as P
 from logfathom.functions.dialect import BadPattern, rewrite
 from logfathom.functions.redaction import find_sensitive, redact
-from logfathom.functions.values import normalize_level, parse_timestamp, template_of, to_num
+from logfathom.functions.values import PLACEHOLDER, normalize_level, parse_timestamp, template_of, to_num
 from logfathom.operators import aggregates as A
 from logfathom.operators import diagnostics as D
 from logfathom.operators import parsing as X
@@ -125,6 +126,30 @@ def test_templates(spark):
     assert got == ["id <*> done", "x <*> y", "deadbeef", " ".join(["w"] * 80) + " …", ""]
 
 
+def test_templates_token_by_token(spark):
+    """Against the rule itself: split, mask, merge, cut."""
+    import random
+
+    rng, parts = random.Random(7), ["a", "b1", "<*>", "<*>x", "x<*>", "7", "deadbeefdeadbeef", "DEADBEEFDEADBEEFg", "é٣", "deadbeef", "$1", "\\", "", "\t", "\u00a0"]
+    lines = ["".join(rng.choice(parts) + rng.choice([" ", " ", "  ", "\t", "\u3000", ""]) for _ in range(rng.choice([3, 9, 300]))) for _ in range(400)] + ["<*> " * 3 + "<*>x", "1 " * 3000, None, " "]
+
+    def rule(line):
+        masked = [PLACEHOLDER if re.search(r"[0-9]|^[0-9a-fA-F]{12,}$", t) else t for t in re.split("[ \t\u00a0\u3000]+", line[:4096]) if t]
+        kept = [t for i, t in enumerate(masked) if not (t == PLACEHOLDER and i and masked[i - 1] == PLACEHOLDER)]
+        return " ".join([*kept[:80], "…"] if len(kept) > 80 else kept)
+
+    assert values(spark, template_of, lines) == [None if x is None else rule(x) for x in lines]
+
+
+def test_a_line_s_template_is_computed_once(spark):
+    """A template stands in one step of the plan and has no function that runs token by token there."""
+    lines = T.with_templates(spark.createDataFrame([("a", 0, "x 1", True)], "stream string, line_no long, text string, is_head boolean"))
+    counted = lines.select("stream", "line_no", F.inline(F.array(F.struct(F.col("template").alias("pattern"))))).filter("pattern is not null")
+    assert T.templates(lines).collect() == [(0, "x <*>", 1)] and counted.count() == 1
+    plan = lines.select("template")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 3 and "split(" not in plan and "filter(" not in plan
+
+
 def test_numeric_facet(spark):
     lines = lines_of(spark, [f"level=INFO duration={i} status={200 if i % 5 else 500} msg=req{i}" for i in range(100)], X.parse_logfmt)
     got = A.numeric_facet(lines, "duration", 10).collect()
