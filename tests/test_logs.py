@@ -425,6 +425,23 @@ def test_rotation_names(spark):
     assert values(spark, S.rotation_base, list(names)) == list(names.values())
 
 
+def test_what_patterns_need(spark):
+    """Whatever a pattern finds has what its pattern needs, and texts without it are not searched."""
+    import random
+
+    from logfathom.functions import redaction as K
+
+    rng = random.Random(3)
+    parts = ["token", "Pa\u017fs", "to\u212aen", "auth", "=", ":", "::", " ", "\n", "\u00a0", "fe80", "1", "a", "12ab", "10.0.0.1", "4111 1111 1111 1111", "4111-1111", "x@y.co", "@", "Bearer", "eyJ", ".", "abcdefghij12345", "Zz9+/_=-", "é", "\""]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([2, 6, 20]))) for _ in range(3000)] + [None, ""]
+    every = {"secret": [rewrite(K.SECRET, ignore_case=True), rewrite(K.BEARER, ignore_case=True)], "jwt": [rewrite(K.JWT)], "email": [rewrite(K.EMAIL)], "ipv4": [rewrite(K.IPV4)], "ipv6": [rewrite(K.IPV6)], "token": [rewrite(K.TOKEN)]}
+    plain = values(spark, lambda c: F.array_compact(F.array(*[F.when(F.greatest(*[c.rlike(p.java) for p in (ps * 2)[:2]]), F.lit(k)) for k, ps in every.items()])), texts)
+    got = [[k for k in x if k != "card"] for x in values(spark, find_sensitive, texts)]
+    assert got == plain and all(sum(k in x for x in plain) > 20 for k in every if k != "jwt")
+    plan = spark.createDataFrame([("x",)], "t string").select(find_sensitive(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("rlike") + plan.lower().count("regexp_like") >= 15
+
+
 def test_records_over_batches(spark, tmp_path):
     """Long records that go on in the next batch."""
     schema, folder = "stream string, line_no long, text string", str(tmp_path / "in")
