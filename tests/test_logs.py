@@ -425,6 +425,24 @@ def test_rotation_names(spark):
     assert values(spark, S.rotation_base, list(names)) == list(names.values())
 
 
+def test_json_keys_as_paths(spark):
+    """Wanted keys are those that a search for each path finds, and a line is not searched for each."""
+    texts = [
+        '{"a": 1.50, "b": {"c": "x", "d": [1, {"e": 2}]}, "level": "error", "msg": "m"}', '{"a": "{\\"c\\": 1}", "b": "{\\"c\\": 1}"}', '{"a": null, "b": {"c": null}, "c": "t\\u00e9\\n"}', '{"b": [{"c": 1}], "a": {"x": [1, 2]}}', "{}", "not JSON", '{"a": 1', None,
+        '{"a": 1, "a": 2}', '{"a": 1e400, "b": {"c": {"f": 1E5}}}', '  {"a": true, "b": {"c": ""}, "event": {"message": "below", "severity": "warn"}}', "[1]", '{"a.b": 1, "A": 2}', '{"a":-0.0,"b":{"c":12345678901234567890}}',
+    ]
+    keys, raw = ["a", "b", "b.c", "b.d", "c", "b.c.f"], spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "stream string, line_no long, text string")
+    parsed = X.parse_json(raw, keys)
+    ok = F.ltrim("text").startswith("{") & F.try_parse_json("text").isNotNull()
+    plain = raw.select("line_no", *[F.when(ok, F.get_json_object("text", "$" + "".join(f"['{p}']" for p in k.split(".")))).alias(k.replace(".", "_")) for k in keys])
+    got = parsed.select("line_no", *[F.col("fields")[k].alias(k.replace(".", "_")) for k in keys])
+    assert sorted(got.collect()) == sorted(plain.collect())
+    seen = {r.line_no: (r.level, r.message) for r in parsed.collect()}
+    assert seen[0] == ("ERROR", "m") and seen[10] == ("WARN", "below") and len(seen) == len(texts)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("json_tuple") == 1 and plan.count("get_json_object") == 3 + len([k for k in X.LEVEL_KEYS + X.MESSAGE_KEYS if "." in k])
+
+
 def test_what_patterns_need(spark):
     """Whatever a pattern finds has what its pattern needs, and texts without it are not searched."""
     import random
