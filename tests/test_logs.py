@@ -425,6 +425,26 @@ def test_rotation_names(spark):
     assert values(spark, S.rotation_base, list(names)) == list(names.values())
 
 
+def test_detected_lines_are_computed_once(spark, monkeypatch):
+    """Lines are made once, however many formats they have; few streams and many give the same rows."""
+    made, texts = spark.sparkContext.accumulator(0), {"a": app_log(150), "j": [f'{{"level":"error","n":{i}}}' for i in range(120)], "l": [f"level=warn n={i}" for i in range(130)], "r": ["what", "  ever"], None: ["lost"]}
+
+    def count(x):
+        made.add(1)
+        return x
+
+    raw = spark.createDataFrame([(s, i, t) for s, ts in texts.items() for i, t in enumerate(ts)], "stream string, line_no long, text string")
+    raw = raw.withColumn("text", F.udf(count, "string")("text"))
+    got = X.parse_logs(raw)
+    rows = sorted(repr(r) for r in got.select("stream", "line_no", "format", "level", "ts", F.map_entries("fields").alias("f"), "message", "starts_record").collect())
+    assert made.value == 403 and len(rows) == 402
+    assert {(r.stream, r.format): r.n for r in got.groupBy("stream", "format").agg(F.count("*").alias("n")).collect()} == {("a", "timestamped"): 150, ("j", "json"): 120, ("l", "logfmt"): 130, ("r", "raw"): 2}
+    monkeypatch.setattr(X, "FEW_STREAMS", 1)
+    many = X.parse_logs(raw).select("stream", "line_no", "format", "level", "ts", F.map_entries("fields").alias("f"), "message", "starts_record").collect()
+    assert sorted(repr(r) for r in many) == rows
+    assert X.parse_logs(raw.filter("line_no < 0")).count() == 0
+
+
 def test_json_keys_as_paths(spark):
     """Wanted keys are those that a search for each path finds, and a line is not searched for each."""
     texts = [
