@@ -7,6 +7,7 @@ from collections import deque
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -83,12 +84,13 @@ def stream_records(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
             out.append((head, part, 0, None, True))
             state.remove()
         else:
-            rows, texts = pd.concat(list(parts)).sort_values("line_no"), []
-            for number, text, starts in zip(rows["line_no"], rows["text"], rows["starts"], strict=True):
+            frames, texts = list(parts), []
+            lines = [x for f in frames for x in zip(f["line_no"].tolist(), f["text"].tolist(), f["starts"].tolist(), strict=True)]
+            for number, text, starts in sorted(lines, key=itemgetter(0)):
                 if starts or head < 0:
                     if head >= 0:
                         out.append((head, part, len(texts), "\n".join(texts) if texts else None, True))
-                    head, part, texts = int(number), 0, []
+                    head, part, texts = number, 0, []
                 texts.append(text or "")
             if texts:
                 out.append((head, part, len(texts), "\n".join(texts), False))
@@ -96,7 +98,8 @@ def stream_records(stream: DataFrame, idle_ms: int | None = None) -> DataFrame:
             state.update((head, part))
             if idle_ms is not None:
                 state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=["stream", "head", "part", "span", "text", "closed"])
+        heads, places, spans, joined, closed = zip(*out, strict=True) if out else [()] * 5
+        yield pd.DataFrame({"stream": [key[0]] * len(out), "head": heads, "part": places, "span": spans, "text": joined, "closed": closed})
 
     rows = stream.select("stream", "line_no", "text", (~is_continuation(F.coalesce("text", F.lit("")))).alias("starts"))
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
